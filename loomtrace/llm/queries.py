@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtrace.llm.garbled import find_garbled
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.session import load
 
@@ -20,8 +21,23 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(load(spark, d, "log_entries"))
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    logs, files = load(spark, d, "log_entries"), load(spark, d, "source_files")
+    return find_garbled(spark, [("log_entries", logs, "seq", "message", False), ("source_files", files, "path", "content", True)])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with characters from a wrong decoding."""
+    return _garbled(spark, d).select("table_name", "record_key")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the restored texts."""
+    return _garbled(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_events": p1_events}
+    return {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p2_restored": p2_restored}
 
 
 def oracle_sql() -> dict[str, str]:
