@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtrace.operators.hierarchy import found_links, hierarchy
 from loomtrace.operators.loglines import entries
 from loomtrace.session import load
 
@@ -20,8 +21,18 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     return entries(load(spark, d, "log_entries"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Roots of all records with a parent, cycles, and functions that reach themselves."""
+    return found_links(load(spark, d, "sequence_events"), load(spark, d, "source_functions"), load(spark, d, "call_edges"))
+
+
+def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Path, depth, root and number of descendants of every record."""
+    return hierarchy(load(spark, d, "sequence_events"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_entries": p4_entries}
+    return {"p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
 
 
 def oracle_sql() -> dict[str, str]:
