@@ -296,6 +296,19 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
     return start, best[0], best[2], best[3]
 
 
+def nucleus(text: str) -> str:
+    """A text without what can't matter: numbers become 0, and ASCII words that are no neighbours of other words go.
+
+    The same steps restore the nucleus and the text, and many texts share one.
+    """
+    words = _DIGITS.sub("0", text).split(" ")
+    if len(words) < 4:
+        return " ".join(words)
+    plain = [_ASCII.match(w) is not None for w in words]
+    keep = [not plain[i] or (i > 0 and not plain[i - 1]) or (i + 1 < len(words) and not plain[i + 1]) for i in range(len(words))]
+    return " ".join(w for w, k in zip(words, keep) if k)
+
+
 def judged(text: str, model: Plausibility) -> tuple[bool, str | None, tuple]:
     """Whether a text is garbled, its restored form (None: not garbled, or no better text can be reached), and the steps."""
     framed = folded(text.replace("﻿", ""))
@@ -314,7 +327,7 @@ def _judge(model: Plausibility, column: str, key: str, lines: bool):
     seen: dict[str, tuple[bool, tuple]] = {}
 
     def one(text: str) -> tuple[bool, str | None]:
-        k = _DIGITS.sub("0", text)
+        k = nucleus(text)
         if k not in seen:
             if len(seen) >= _CACHE:
                 seen.clear()

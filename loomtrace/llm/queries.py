@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtrace.llm.garbled import find_garbled
+from loomtrace.llm.quality import non_prose, text_quality
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.session import load
 
@@ -36,8 +37,18 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are lists, tables or junk by more than half."""
+    return non_prose(load(spark, d, "documents"))
+
+
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The quality statistics of every text."""
+    return text_quality(load(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p2_restored": p2_restored}
+    return {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p2_restored": p2_restored, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
