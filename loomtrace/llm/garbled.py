@@ -362,7 +362,23 @@ def _unusual(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).rlike(r"[^\x00-\x7f]|&#?[0-9A-Za-z]{2,8};"))
 
 
-def find_garbled(spark: SparkSession, tables: list[tuple[str, DataFrame, str, str, bool]], model: Plausibility | None = None) -> DataFrame:
+Table = tuple[str, DataFrame, str, str, bool]
+
+
+def _texts(tables: list[Table]) -> list[tuple[str, DataFrame, bool]]:
+    return [(n, df.select(F.col(k).cast("string").alias("k"), F.col(t).alias("t")).where("k is not null and t is not null"), lines) for n, df, k, t, lines in tables]
+
+
+def source_model(tables: list[Table]) -> Plausibility:
+    """The plausibility of characters by all texts of the tables."""
+    corpus = None
+    for _, df, lines in _texts(tables):
+        texts = _unusual(df.select(F.explode(F.split("t", "\n")).alias("t") if lines else "t"), "t")
+        corpus = texts if corpus is None else corpus.unionByName(texts)
+    return Plausibility(window_counts(corpus))
+
+
+def find_garbled(spark: SparkSession, tables: list[Table], model: Plausibility | None = None) -> DataFrame:
     """Garbled records of several tables: ``table_name, record_key, restored``, each record once.
 
     ``tables``: (name, DataFrame, key column, text column, whether to judge each line by itself). Null and empty texts and
@@ -370,16 +386,9 @@ def find_garbled(spark: SparkSession, tables: list[tuple[str, DataFrame, str, st
     different texts under one key, any garbled one counts, and the smallest restoration is given). ``restored`` is null
     where the characters do not allow a restoration. Without a model, the counts are taken over all the given texts.
     """
-    picked = [(n, df.select(F.col(k).cast("string").alias("k"), F.col(t).alias("t")).where("k is not null and t is not null"), lines) for n, df, k, t, lines in tables]
-    if model is None:
-        corpus = None
-        for _, df, lines in picked:
-            texts = df.select(F.explode(F.split("t", "\n")).alias("t") if lines else "t")
-            texts = _unusual(texts, "t")
-            corpus = texts if corpus is None else corpus.unionByName(texts)
-        model = Plausibility(window_counts(corpus))
+    model = model or source_model(tables)
     out = None
-    for n, df, lines in picked:
+    for n, df, lines in _texts(tables):
         found = _unusual(df, "t").mapInPandas(_judge(model, "t", "k", lines), "record_key string, restored string")
         found = found.groupBy("record_key").agg(F.min("restored").alias("restored")).select(F.lit(n).alias("table_name"), "record_key", "restored")
         out = found if out is None else out.unionByName(found)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtrace.llm.garbled import find_garbled
+from loomtrace.llm.codelang import language_shares, natural_language
+from loomtrace.llm.garbled import find_garbled, source_model
 from loomtrace.llm.quality import non_prose, text_quality
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.session import load
@@ -22,9 +24,16 @@ def p1_events(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(load(spark, d, "log_entries"))
 
 
+def LOGS(df: DataFrame) -> tuple[str, DataFrame, str, str, bool]:  # noqa: N802
+    return ("log_entries", df, "seq", "message", False)
+
+
+def FILES(df: DataFrame) -> tuple[str, DataFrame, str, str, bool]:  # noqa: N802
+    return ("source_files", df, "path", "content", True)
+
+
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
-    logs, files = load(spark, d, "log_entries"), load(spark, d, "source_files")
-    return find_garbled(spark, [("log_entries", logs, "seq", "message", False), ("source_files", files, "path", "content", True)])
+    return find_garbled(spark, [LOGS(load(spark, d, "log_entries")), FILES(load(spark, d, "source_files"))])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +46,24 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d)
 
 
+def _sound_files(spark: SparkSession, d: str) -> DataFrame:
+    """Source files in which p2 finds no wrong decoding."""
+    files = load(spark, d, "source_files")
+    bad = find_garbled(spark, [FILES(files)], source_model([LOGS(load(spark, d, "log_entries")), FILES(files)]))
+    return files.join(bad.select(F.col("record_key").alias("bad")), F.col("path") == F.col("bad"), "left_anti")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on which a comment or literal with natural language opens, with each language in it."""
+    found = natural_language(_sound_files(spark, d), load(spark, d, "documents"))
+    return found.select("path", "line_no", "lang").distinct()
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each language's share of each file."""
+    return language_shares(natural_language(_sound_files(spark, d), load(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts that are lists, tables or junk by more than half."""
     return non_prose(load(spark, d, "documents"))
@@ -48,7 +75,7 @@ def p8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p2_restored": p2_restored, "p8_found": p8_found, "p8_quality": p8_quality}
+    return {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_shares": p3_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
