@@ -36,9 +36,12 @@ _BYTE = re.compile(r"\\x([0-9a-fA-F]{1,2})|\\([0-7]{1,3})")
 _SIMPLE = {"n": "\n", "t": "\t", "r": " ", "v": " ", "f": " ", "a": " ", "b": " ", "0": " "}
 _TAG = re.compile(r"[@\\](?:brief|param|return|returns|note|todo|file|see|author|date|warning|details|since|deprecated)\b(?:\s*\[[a-z,]*\])?", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_SCRIPT = re.compile(r"(?P<cjk>[぀-ヿ㐀-鿿豈-﫿々〆ー]+)|(?P<ko>[가-힣]+)|(?P<ru>[Ѐ-ӿ]+)|(?P<latin>[A-Za-zÀ-ɏ]+)")
+_SCRIPT = re.compile("(?P<cjk>[぀-ヿ㐀-鿿豈-﫿々〆]+)|(?P<ko>[가-힣]+)|(?P<ru>[Ѐ-ӿ]+)|(?P<latin>[A-Za-zÀ-ɏ]+)")
+_SIGNS = re.compile(r"[=;{}\[\]<>&|+*^~]")
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’\-][A-Za-zÀ-ɏ]+)*[.,;:!?)\"”»…]*\Z")
-_OTHER_WORD = re.compile(r"[Ѐ-ӿ가-힣]")
+_OTHER_WORD = re.compile("[Ѐ-ӿ가-힣]")
+_HAN_KANA = re.compile("[぀-ヿ㐀-鿿々〆]")
+_KANA = re.compile("[぀-ヿ]")
 
 
 def pieces(content: str) -> list[tuple[int, str, str, int, int]]:
@@ -122,8 +125,10 @@ def stretches(text: str) -> list[tuple[str, str]]:
 
 def _long(script: str, text: str) -> bool:
     if script == "cjk":
-        return len(re.findall(r"[぀-ヿ㐀-鿿々〆ー]", text)) >= MIN_CHARS
+        return len(_HAN_KANA.findall(text)) >= MIN_CHARS
     if script == "latin":
+        if len(_SIGNS.findall(text)) >= max(3, len(text.split()) // 2):  # signs of code as thick as words
+            return False
         return sum(1 for w in text.split() if _LATIN_WORD.match(w.lstrip("(\"'“«¿¡"))) >= MIN_WORDS
     return sum(1 for w in text.split() if _OTHER_WORD.search(w)) >= MIN_WORDS
 
@@ -155,7 +160,7 @@ class LanguageModel:
         out = []
         for (script, text), ids in zip(items, enc.encode_ordinary_batch([" " + t for _, t in items], num_threads=1)):
             score = self.logp[:, ids].sum(axis=1) + self.prior
-            if script == "cjk" and re.search(r"[぀-ヿ]", text):
+            if script == "cjk" and _KANA.search(text):
                 out.append("ja")
                 continue
             allowed = _ALLOWED[script]

@@ -39,7 +39,7 @@ TRUE = ("utf_8", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp866", "cp437", "c
 _ASCII = re.compile(r"[\x00-\x7f]*\Z")
 _DIGITS = re.compile(r"[0-9]+")
 _BROKEN = re.compile("[�\x80-\x9f-￰-￻\U000f0000-\U0010ffff]")
-_MARKS = re.compile("�{2,}")
+_MARKS = re.compile("\ufffd{2,}")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{4,8});")
 
 
@@ -241,7 +241,7 @@ def _step(pieces: list[tuple[str, bytes | None]], charset: str, wrong: str = "")
             new = text
         changed |= new != text
         out.append(new)
-    return _MARKS.sub("�", "".join(out)) if changed else None
+    return _MARKS.sub("\ufffd", "".join(out)) if changed else None
 
 
 def unescaped(text: str) -> str:
@@ -289,7 +289,7 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
                 best = (c, depth + 1, new, (*path, step))
             if c < start + SLACK:
                 # bytes that happen to be UTF-8 throughout are no accident: such texts are looked at first
-                sure = UTF8_BONUS * sum(ch > "\x7f" for ch in new) if step[1] == "utf_8" and "�" not in new else 0
+                sure = UTF8_BONUS * sum(ch > "\x7f" for ch in new) if step[1] == "utf_8" and "\ufffd" not in new else 0
                 heapq.heappush(heap, (c - sure, c, depth + 1, new, (*path, step)))
         if best[1] and not model.suspicious(folded(best[2])):
             break
@@ -311,11 +311,11 @@ def nucleus(text: str) -> str:
 
 def judged(text: str, model: Plausibility) -> tuple[bool, str | None, tuple]:
     """Whether a text is garbled, its restored form (None: not garbled, or no better text can be reached), and the steps."""
-    framed = folded(text.replace("﻿", ""))
+    framed = folded(text.replace("\ufeff", ""))
     broken = _BROKEN.search(text) is not None
     if not broken and not model.suspicious(framed):
         return False, None, ()
-    start, cost, new, path = search(text.replace("﻿", ""), model)
+    start, cost, new, path = search(text.replace("\ufeff", ""), model)
     gain = start - cost
     nw = model.windows(folded(new))
     known = not len(nw) or float(np.mean(nw)) < 0.5 * (model.unseen + model.usual) + 0.5
