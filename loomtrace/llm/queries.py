@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.codelang import language_shares, natural_language
 from loomtrace.llm.garbled import find_garbled, source_model
+from loomtrace.llm.mixing import mix, mixture_shares, source_sizes
+from loomtrace.llm.packing import container_fill, pack, split_documents
 from loomtrace.llm.quality import non_prose, text_quality
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.session import load
@@ -64,6 +66,32 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return language_shares(natural_language(_sound_files(spark, d), load(spark, d, "documents")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are larger than a container and so had to be split."""
+    return split_documents(pack(load(spark, d, "documents"), load(spark, d, "pack_targets")))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind get."""
+    targets = load(spark, d, "pack_targets")
+    return container_fill(pack(load(spark, d, "documents"), targets), targets)
+
+
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = load(spark, d, "documents"), load(spark, d, "mix_targets")
+    return mixture_shares(mix(docs, targets), source_sizes(docs, targets))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that cannot fill their share of the mixture even at their cap."""
+    return _shares(spark, d).where("not enough").select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return _shares(spark, d)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts that are lists, tables or junk by more than half."""
     return non_prose(load(spark, d, "documents"))
@@ -74,9 +102,20 @@ def p8_quality(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(load(spark, d, "documents"))
 
 
+P6_FOUND = "SELECT t.target_id, d.doc_id FROM documents d JOIN pack_targets t ON strlen(d.text) > t.capacity"
+
+P7_FOUND = """
+WITH d AS (SELECT replace(lower(trim(source)), '-', '_') AS k, coalesce(strlen(text), 0) AS size FROM documents),
+     s AS (SELECT k, sum(size) AS size FROM d GROUP BY k)
+SELECT t.source FROM mix_targets t LEFT JOIN s ON s.k = replace(lower(trim(t.source)), '-', '_')
+WHERE coalesce(s.size, 0) * t.max_repeats < t.weight * (SELECT sum(size) FROM d)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_shares": p3_shares, "p8_found": p8_found, "p8_quality": p8_quality}
+    return {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_shares": p3_shares, "p6_found": p6_found, "p6_containers": p6_containers,
+        "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_FOUND, "p7_found": P7_FOUND}
