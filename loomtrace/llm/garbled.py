@@ -34,7 +34,7 @@ _CACHE = 200_000
 
 # fixed values: charsets a text may have been decoded with by mistake, and may really have been written in
 WRONG = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman", "cp932", "gb18030", "cp949", "iso8859_5")
-TRUE = ("utf_8", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "cp932", "euc_jp", "gb18030", "cp949", "iso8859_5", "mac_cyrillic", "iso8859_7")
+TRUE = ("utf_8", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp866", "cp932", "euc_jp", "gb18030", "cp949")
 
 _ASCII = re.compile(r"[\x00-\x7f]*\Z")
 _DIGITS = re.compile(r"[0-9]+")
@@ -82,8 +82,8 @@ def _windows(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded(text: str) -> str:
-    """Lower case, every number one 0, framed by line ends: what windows are taken of."""
-    return "\n\n" + _DIGITS.sub("0", text.lower()) + "\n\n"
+    """Lower case, every number one 0, line ends as blanks, framed by line ends: what windows are taken of."""
+    return "\n\n" + _DIGITS.sub("0", text.lower().replace("\n", " ")) + "\n\n"
 
 
 def _count(column: str):
@@ -140,7 +140,9 @@ class Plausibility:
     def windows(self, text: str) -> np.ndarray:
         """The cost of each window that holds a non-ASCII character."""
         p = _points(text)
-        h, at = _windows(p)
+        return self._priced(p, *_windows(p))
+
+    def _priced(self, p: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         cost = self.costs[h.astype(np.int64)]
         k = _CLASS[np.minimum(p, 0xFFFF).astype(np.int64)]
         pair = _ODD[k[:-1], k[1:]]
@@ -149,8 +151,19 @@ class Plausibility:
         return np.where((k[at] == 9) | (k[at + 1] == 9) | (k[at + 2] == 9), self.unseen + 4, cost)
 
     def cost(self, text: str) -> float:
+        """What all windows of a folded text cost together."""
         return float(self.windows(text).sum())
 
+    def all_costs(self, texts: list[str]) -> np.ndarray:
+        """``cost(folded(t))`` of many texts at once."""
+        joint = "\n\n".join(["", *(t.replace("\n", " ") for t in texts), ""])
+        p = _points(_DIGITS.sub("0", joint.lower()))
+        h, at = _windows(p)
+        of = (np.cumsum(p == 10) - 1) // 2  # two line ends before each text; a window that starts on a frame belongs to what follows
+        first = np.where(p[at] == 10, of[np.minimum(at + 2, len(p) - 1)], of[at])
+        cost = self._priced(p, h, at)
+        return np.bincount(np.minimum(first, len(texts) - 1), weights=cost, minlength=len(texts))
+
 
 def _sloppy(charset: str) -> tuple[dict[int, int], str]:
     """A single-byte charset as a table both ways; bytes that it leaves free are C1 controls, as browsers read them."""
@@ -258,33 +271,29 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
     start = model.cost(framed)
     best = (start, 0, text, ())
     heap: list[tuple[float, float, int, str, tuple]] = [(start, *best)]
-    visited = {hash(text)}
+    visited = {text}
     n = 0
     while heap and n < max_expansions:
         _, cost, depth, now, path = heapq.heappop(heap)
         n += 1
         if depth >= 3:
             continue
-        nexts: list[tuple[str, tuple]] = []
+        marred = _BROKEN.search(now) is not None
+        nexts: dict[str, tuple] = {}
         if _ESCAPE.search(now):
-            nexts.append((unescaped(now), ("unescape", "")))
+            nexts[unescaped(now)] = ("unescape", "")
+        written = set()
         for wrong in WRONG:
             pieces = _encoded(now, wrong)
-            if all(raw is None or _ASCII.match(t) for t, raw in pieces):
+            if all(raw is None or _ASCII.match(t) for t, raw in pieces) or (key := tuple(raw for _, raw in pieces)) in written:
                 continue
+            written.add(key)
             for true in TRUE:
-                if true != wrong and (new := _step(pieces, true, wrong)) is not None:
-                    nexts.append((new, (wrong, true)))
-        marred = _BROKEN.search(now) is not None
-        for new, step in nexts:
-            key = hash(new)
-            if key in visited:
-                continue
-            visited.add(key)
-            if not marred and _BROKEN.search(new):
-                continue
-            f = folded(new)
-            c = model.cost(f) + depth + 1
+                if true != wrong and (new := _step(pieces, true, wrong)) is not None and new not in visited and (marred or not _BROKEN.search(new)):
+                    nexts.setdefault(new, (wrong, true))
+        visited.update(nexts)
+        for (new, step), c in zip(nexts.items(), model.all_costs(list(nexts)) + depth + 1 if nexts else ()):
+            c = float(c)
             if c < best[0]:
                 best = (c, depth + 1, new, (*path, step))
             if c < start + SLACK:
@@ -315,7 +324,8 @@ def judged(text: str, model: Plausibility) -> tuple[bool, str | None, tuple]:
     broken = _BROKEN.search(text) is not None
     if not broken and not model.suspicious(framed):
         return False, None, ()
-    start, cost, new, path = search(text.replace("\ufeff", ""), model)
+    # what failed decoding has destroyed can't come back: only the rest is worth a few steps
+    start, cost, new, path = search(text.replace("\ufeff", ""), model, 3 if "\ufffd" in text else MAX_EXPANSIONS)
     gain = start - cost
     nw = model.windows(folded(new))
     known = not len(nw) or float(np.mean(nw)) < 0.5 * (model.unseen + model.usual) + 0.5
