@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.grammar import Grammar, strip
 from loomtrace.operators.ordered import WIDTH, last_known
+from loomtrace.session import cut
 
 
 def _fold(g: Grammar, head: Column, lines: Column) -> Column:
@@ -44,7 +45,8 @@ def assemble(lines: DataFrame, grammar: Grammar | None = None, width: int = WIDT
     rows = rows.withColumn("body", g.without_interrupts(c("whole"))).drop("whole")
     rows = rows.withColumn("is_head", g.is_head(c("body")))
     begun = F.when(c("is_head"), F.struct(c("line_no").alias("line"), (~g.has_trailer(c("body"))).alias("open")))
-    rows = last_known(rows, ["log_id"], "line_no", begun, "begun", width=width).withColumn("segment", c("begun.line"))
+    # read several times below: written once to the shared folder
+    rows = cut(last_known(rows, ["log_id"], "line_no", begun, "begun", width=width).withColumn("segment", c("begun.line")))
     # only a head without its place at the end takes lines, and only up to the first that holds more than a piece of a place
     by = Window.partitionBy("log_id", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     whole_lines = F.count(F.when(~strip(c("body")).rlike(r"(?U)^[\w:~<>.()]+$"), 1)).over(by)
@@ -90,7 +92,7 @@ def parse(lines: DataFrame, grammar: Grammar | None = None, width: int = WIDTH)
     """
     g = grammar or Grammar()
     c = F.col
-    rows = number(assemble(lines, g, width), width)
+    rows = number(cut(assemble(lines, g, width)), width)
     rows = last_known(rows, ["log_id"], "seq", c("ts_text"), "ts_full", width=width)
     rows = g.with_fields(rows)
     return rows.select(

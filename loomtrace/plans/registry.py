@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.plans import problems
+from loomtrace.plans import events, graph, logs, problems
 
-_PARTS = [problems]
+_PARTS = [problems, logs, events, graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
