@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.plans import events, graph, logs, problems
+from loomtrace.plans import events, graph, logs, problems, sources
 
-_PARTS = [problems, logs, events, graph]
+_PARTS = [problems, logs, events, graph, sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
