@@ -48,8 +48,8 @@ def patterns(bins: int = BINS, items: int = PATTERN_ITEMS, most: int = MAX_PATTE
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x ≥ 0 that minimises |x·a − b|², by cyclic coordinate descent."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300, tolerance: float = 0.25) -> np.ndarray:
+    """x ≥ 0 that minimises |x·a − b|², by cyclic coordinate descent until no step is larger than the tolerance."""
     norm = (a * a).sum(axis=1)
     x = np.zeros(len(a))
     rest = b.astype(float).copy()
@@ -61,7 +61,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
                 x[i] += step
                 rest -= step * a[i]
                 most = max(most, abs(step))
-        if most < 0.25:
+        if most < tolerance:
             break
     return x
 

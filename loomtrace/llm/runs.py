@@ -61,8 +61,7 @@ def similarity(a: tuple[str | None, str], b: tuple[str | None, str]) -> float:
         s, t = t, s
     if len(s) < MIN_CUT:
         return 0.0
-    stem = s[:-1].rstrip() if s.endswith("#") and len(s) > MIN_CUT else s
-    if t.startswith(s) or (t.startswith(stem) and len(stem) >= MIN_CUT):
+    if t.startswith(s):
         return known * (0.3 + 0.6 * len(s) / len(t))
     # an id that was cut in its middle leaves a few hexadecimal letters
     head, _, end = s.rpartition(" ")
