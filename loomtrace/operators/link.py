@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions.paths import ModuleRules, basename, short_name
 from loomtrace.operators.graph import MAX_HOPS, SYNC_MS, caller_reach, first_functions
 from loomtrace.operators.hierarchy import roots
-from loomtrace.operators.ordered import WIDTH, last_known
+from loomtrace.operators.ordered import WIDTH, last_known, running
 from loomtrace.session import cut
 
 
@@ -52,24 +52,53 @@ def lanes(entries: DataFrame, rules: ModuleRules | None = None) -> DataFrame:
     return e.withColumn("lane", lane).drop("_log_lane", "_other", "_l", "_low", "_since", "_spelt")
 
 
+def _by_caller(probes: DataFrame, told: DataFrame, reach: DataFrame, width: int) -> DataFrame:
+    """Links of some probes by asking every possible caller for its latest record: right whatever the clocks do."""
+    c = F.col
+    asked = probes.join(reach, c("function_id") == c("callee")).select("log_id", c("caller").alias("key"), "seq", "ts_ms", "hops", "kind", "window_ms", F.lit(True).alias("probe"))
+    none = F.lit(None)
+    told = told.select("log_id", c("function_id").alias("key"), "seq", "ts_ms", none.cast("int").alias("hops"), none.cast("string").alias("kind"), none.cast("long").alias("window_ms"), F.lit(False).alias("probe"))
+    told = told.join(asked.select(c("log_id").alias("k1"), c("key").alias("k2")).distinct(), c("log_id").eqNullSafe(c("k1")) & (c("key") == c("k2")), "left_semi")
+    both = last_known(asked.unionByName(told), ["log_id", "key"], "seq", F.when(~c("probe"), F.struct("seq", "ts_ms")), "latest", include_self=False, width=width)
+    gap = c("ts_ms") - c("latest.ts_ms")
+    ok = c("probe") & c("latest").isNotNull() & F.coalesce(gap.between(F.lit(0), c("window_ms")), F.lit(True))
+    best = F.max(F.struct(c("latest.seq").alias("caller_seq"), (-c("hops")).alias("h"), "kind")).alias("m")
+    return both.where(ok).groupBy("log_id", "seq").agg(best)
+
+
 def caller_links(events: DataFrame, reach: DataFrame, width: int = WIDTH) -> DataFrame:
     """``log_id, seq, caller_seq, arrow_kind, hops``: of each record, the newest of its possible callers' latest records.
 
     For each caller that reaches the record's function, only its latest earlier record of the same log counts, and only
     within the caller's time window (missing times pass, negative differences fail); of those the one with the greatest
     ``seq``, then the fewest hops. ``events``: ``log_id, seq, ts_ms, function_id``.
+
+    Every record is offered to the few functions that its own reaches, not asked for by the many that reach it: a function
+    that is logged most is called by most others. Per window length the last offer before a record is its link if it is in
+    time. Where it is not, older offers are late as well, unless times are missing or the clock has gone back; only such
+    records ask all their callers one by one.
     """
     c = F.col
     e = events.where("function_id is not null").select("log_id", "seq", "ts_ms", "function_id")
-    asked = e.join(reach, c("function_id") == c("callee")).select("log_id", c("caller").alias("key"), "seq", "ts_ms", "hops", "kind", "window_ms", F.lit(True).alias("probe"))
-    told = e.select("log_id", c("function_id").alias("key"), "seq", "ts_ms", F.lit(None).cast("int").alias("hops"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("window_ms"), F.lit(False).alias("probe"))
-    # only functions that are asked for need their records beside the questions
-    told = told.join(asked.select(c("key").alias("k")).distinct(), c("key") == c("k"), "left_semi")
-    both = last_known(asked.unionByName(told), ["log_id", "key"], "seq", F.when(~c("probe"), F.struct("seq", "ts_ms")), "latest", include_self=False, width=width)
+    logged = e.select(c("function_id").alias("lf")).distinct()
+    wanted = reach.join(logged, c("callee") == c("lf"), "left_semi")
+    offers = e.join(wanted, c("function_id") == c("caller")).select("log_id", c("callee").alias("f"), "window_ms", "seq", "ts_ms", F.struct("seq", "ts_ms", "hops", "kind").alias("offer"))
+    classes = wanted.select(c("callee").alias("f"), "window_ms").distinct()
+    probes = e.join(classes, c("function_id") == c("f")).select("log_id", "f", "window_ms", "seq", "ts_ms", F.lit(None).cast("struct<seq:bigint,ts_ms:bigint,hops:int,kind:string>").alias("offer"))
+    is_offer = c("offer").isNotNull()
+    rows = running(
+        cut(offers.unionByName(probes)), ["log_id", "f", "window_ms"], "seq",
+        {"latest": ("last", c("offer")), "max_ts": ("max", F.when(is_offer, c("ts_ms"))), "timeless": ("sum", F.when(is_offer & c("ts_ms").isNull(), 1))}, include_self=False, width=width,
+    )
     gap = c("ts_ms") - c("latest.ts_ms")
-    ok = c("probe") & c("latest").isNotNull() & F.coalesce(gap.between(F.lit(0), c("window_ms")), F.lit(True))
-    best = F.max(F.struct(c("latest.seq").alias("caller_seq"), (-c("hops")).alias("h"), "kind")).alias("m")
-    return both.where(ok).groupBy("log_id", "seq").agg(best).select("log_id", "seq", c("m.caller_seq").alias("caller_seq"), c("m.kind").alias("arrow_kind"), (-c("m.h")).alias("hops"))
+    fits = F.coalesce(gap.between(F.lit(0), c("window_ms")), F.lit(True))
+    doubt = ~fits & ((gap < 0) | (c("timeless") > 0) | (c("max_ts") >= c("ts_ms") - c("window_ms")))
+    best = F.max(F.when(fits, F.struct(c("latest.seq").alias("caller_seq"), (-c("latest.hops")).alias("h"), c("latest.kind").alias("kind")))).alias("m")
+    per = cut(rows.where(~is_offer & c("latest").isNotNull()).groupBy("log_id", "seq").agg(best, F.bool_or(doubt).alias("doubt")))
+    unsure = per.where("doubt").select(c("log_id").alias("u1"), c("seq").alias("u2"))
+    slow = _by_caller(e.join(unsure, c("log_id").eqNullSafe(c("u1")) & (c("seq") == c("u2")), "left_semi"), e, wanted, width)
+    out = per.where("not doubt and m is not null").select("log_id", "seq", "m").unionByName(slow)
+    return out.select("log_id", "seq", c("m.caller_seq").alias("caller_seq"), c("m.kind").alias("arrow_kind"), (-c("m.h")).alias("hops"))
 
 
 def link(events: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, sync_ms: int = SYNC_MS, reach: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
@@ -83,11 +112,11 @@ def link(events: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, sync_ms:
     reach = caller_reach(edges, max_hops) if reach is None else reach
     e = events.select("log_id", "seq", "ts_ms", "function_id", F.coalesce("function_id", F.when(c("function_name") != "", F.concat(F.lit("?"), F.coalesce("file_name", F.lit("")), F.lit("::"), c("function_name")))).alias("key"))
     links = caller_links(events, reach, width)
-    e = e.join(links.withColumnsRenamed({"log_id": "l", "seq": "s"}), c("log_id").eqNullSafe(c("l")) & (c("seq") == c("s")), "left").drop("l", "s")
+    e = cut(e.join(links.withColumnsRenamed({"log_id": "l", "seq": "s"}), c("log_id").eqNullSafe(c("l")) & (c("seq") == c("s")), "left").drop("l", "s"))
     known = last_known(e.where("key is not null"), ["log_id", "key"], "seq", F.struct("seq", "ts_ms"), "prev", include_self=False, width=width)
     gap = c("ts_ms") - c("prev.ts_ms")
     follows = c("caller_seq").isNull() & c("prev").isNotNull() & F.coalesce(gap.between(0, sync_ms), F.lit(True))
-    known = known.withColumn("follows", follows)
+    known = cut(known.withColumn("follows", follows))
     # a run of siblings takes everything from the record that began it
     known = last_known(known, ["log_id", "key"], "seq", F.when(~c("follows"), F.struct("seq", "caller_seq")), "begun", width=width)
     known = cut(known.select("log_id", "seq", "caller_seq", "arrow_kind", "hops", c("begun.seq").alias("rep"), c("begun.caller_seq").alias("parent_seq")))

@@ -1,7 +1,8 @@
-"""Ordered look-back without one task per key: the last known value before a row, by blocks with carry-over.
+"""Ordered look-back without one task per key: running values by blocks with carry-over.
 
 A window over a key sorts the key's rows in one task. Here the key's order is cut into blocks of ``width``; windows run
-per block, and the last value of each block is carried to the following ones through a table of one row per key and block.
+per block, and each block's outcome is carried to the following ones through a table of one row per key and block.
+The input is read twice (rows and blocks): cut it first where it is dear to compute.
 """
 
 from __future__ import annotations
@@ -12,23 +13,31 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 16
 
 
-def last_known(df: DataFrame, keys: list[str], order: str, value: Column, out: str, include_self: bool = True, width: int = WIDTH, tie: str | None = None) -> DataFrame:
-    """Adds ``out``: the last non-null ``value`` of the key at or before the row (before it, without ``include_self``).
+def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], include_self: bool = True, width: int = WIDTH, tie: str | None = None) -> DataFrame:
+    """Adds, for each name, the running ``last`` (known), ``max`` or ``sum`` of an expression over the key's rows so far.
 
-    ``order`` is an integer column; rows with equal keys and order come in order of ``tie`` where given. Null keys are keys
-    like others. No value before: null.
+    ``include_self``: with the row itself, else only with those before it. ``order`` is an integer column; rows with equal
+    keys and order come in order of ``tie`` where given. Null keys are keys like others. Nothing so far: null.
     """
-    b, v, prior, carried = "_block", "_value", "_prior", "_carried"
-    df = df.withColumn(b, F.floor(F.col(order) / width).cast("long")).withColumn(v, value)
+    b = "_block"
+    df = df.withColumn(b, F.floor(F.col(order) / width).cast("long")).withColumns({f"_v_{n}": e for n, (_, e) in values.items()})
     by = [order] + ([tie] if tie else [])
-    w = Window.partitionBy(*keys, b).orderBy(*by)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
-    df = df.withColumn(prior, F.last(v, ignorenulls=True).over(frame))
-    ends = df.groupBy(*keys, b).agg(F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*by))).alias("_end"))
+    w = Window.partitionBy(*keys, b).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
+    agg = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "sum": F.sum}
+    df = df.withColumns({f"_p_{n}": agg[how](F.col(f"_v_{n}")).over(w) for n, (how, _) in values.items()})
+    place = F.struct(*by)
+    of_block = [(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)) if how == "last" else agg[how](F.col(f"_v_{n}"))).alias(f"_e_{n}") for n, (how, _) in values.items()]
+    ends = df.groupBy(*keys, b).agg(*of_block)
     wk = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(b).alias("_b"), F.last("_end", ignorenulls=True).over(wk).alias(carried))
+    ends = ends.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(b).alias("_b"), *(agg[how](F.col(f"_e_{n}")).over(wk).alias(f"_c_{n}") for n, (how, _) in values.items()))
     on = F.col(b) == F.col("_b")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = df.join(ends, on, "left")
-    return joined.withColumn(out, F.coalesce(prior, carried)).drop(b, v, prior, carried, "_b", *(f"_k_{k}" for k in keys))
+    both = {"last": F.coalesce, "max": F.greatest, "sum": lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))}
+    out = df.join(ends, on, "left").withColumns({n: both[how](F.col(f"_p_{n}"), F.col(f"_c_{n}")) for n, (how, _) in values.items()})
+    return out.drop(b, "_b", *(f"_k_{k}" for k in keys), *(f"_{x}_{n}" for x in "vpc" for n in values))
+
+
+def last_known(df: DataFrame, keys: list[str], order: str, value: Column, out: str, include_self: bool = True, width: int = WIDTH, tie: str | None = None) -> DataFrame:
+    """Adds ``out``: the last non-null ``value`` of the key at or before the row (before it, without ``include_self``)."""
+    return running(df, keys, order, {out: ("last", value)}, include_self, width, tie)
