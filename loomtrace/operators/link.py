@@ -11,6 +11,8 @@ from loomtrace.operators.hierarchy import roots
 from loomtrace.operators.ordered import WIDTH, last_known, running
 from loomtrace.session import cut
 
+TIMELESS = -(1 << 62)
+
 
 def resolve_functions(entries: DataFrame, functions: DataFrame) -> DataFrame:
     """Adds ``function_id`` and ``function_module``: by file and name, else by name only; of several candidates those whose
@@ -52,10 +54,19 @@ def lanes(entries: DataFrame, rules: ModuleRules | None = None) -> DataFrame:
     return e.withColumn("lane", lane).drop("_log_lane", "_other", "_l", "_low", "_since", "_spelt")
 
 
-def _by_caller(probes: DataFrame, told: DataFrame, reach: DataFrame, width: int) -> DataFrame:
-    """Links of some probes by asking every possible caller for its latest record: right whatever the clocks do."""
+def _by_caller(probes: DataFrame, told: DataFrame, offers: DataFrame, width: int) -> DataFrame:
+    """Links of some probes by asking callers for their latest records: right whatever the clocks do.
+
+    A caller can only be the link if one of its records in this log has no time, or one within the window before the
+    probe: callers are looked up by time in steps of the window (the probe's step and the one before).
+    """
     c = F.col
-    asked = probes.join(reach, c("function_id") == c("callee")).select("log_id", c("caller").alias("key"), "seq", "ts_ms", "hops", "kind", "window_ms", F.lit(True).alias("probe"))
+    step = F.coalesce(F.floor(c("ts_ms") / c("window_ms")), F.lit(TIMELESS))
+    some = offers.select(c("log_id").alias("o_log"), c("f").alias("o_f"), c("window_ms").alias("o_w"), "caller", c("offer.hops").alias("hops"), c("offer.kind").alias("kind"), step.alias("o_step")).distinct()
+    steps = F.explode(F.array_distinct(F.array(step, step - 1, F.lit(TIMELESS))))
+    near = probes.select("log_id", c("function_id").alias("f"), "seq", "ts_ms", "window_ms", steps.alias("step"))
+    asked = near.join(some, c("log_id").eqNullSafe(c("o_log")) & (c("f") == c("o_f")) & (c("window_ms") == c("o_w")) & (c("step") == c("o_step")))
+    asked = cut(asked.select("log_id", c("caller").alias("key"), "seq", "ts_ms", "hops", "kind", "window_ms", F.lit(True).alias("probe")).distinct())
     none = F.lit(None)
     told = told.select("log_id", c("function_id").alias("key"), "seq", "ts_ms", none.cast("int").alias("hops"), none.cast("string").alias("kind"), none.cast("long").alias("window_ms"), F.lit(False).alias("probe"))
     told = told.join(asked.select(c("log_id").alias("k1"), c("key").alias("k2")).distinct(), c("log_id").eqNullSafe(c("k1")) & (c("key") == c("k2")), "left_semi")
@@ -79,15 +90,15 @@ def caller_links(events: DataFrame, reach: DataFrame, width: int = WIDTH) -> Dat
     records ask all their callers one by one.
     """
     c = F.col
-    e = events.where("function_id is not null").select("log_id", "seq", "ts_ms", "function_id")
+    e = cut(events.where("function_id is not null").select("log_id", "seq", "ts_ms", "function_id"))
     logged = e.select(c("function_id").alias("lf")).distinct()
     wanted = reach.join(logged, c("callee") == c("lf"), "left_semi")
-    offers = e.join(wanted, c("function_id") == c("caller")).select("log_id", c("callee").alias("f"), "window_ms", "seq", "ts_ms", F.struct("seq", "ts_ms", "hops", "kind").alias("offer"))
+    offers = cut(e.join(wanted, c("function_id") == c("caller")).select("log_id", c("callee").alias("f"), "window_ms", "caller", "seq", "ts_ms", F.struct("seq", "ts_ms", "hops", "kind").alias("offer")))
     classes = wanted.select(c("callee").alias("f"), "window_ms").distinct()
     probes = e.join(classes, c("function_id") == c("f")).select("log_id", "f", "window_ms", "seq", "ts_ms", F.lit(None).cast("struct<seq:bigint,ts_ms:bigint,hops:int,kind:string>").alias("offer"))
     is_offer = c("offer").isNotNull()
     rows = running(
-        cut(offers.unionByName(probes)), ["log_id", "f", "window_ms"], "seq",
+        offers.drop("caller").unionByName(probes), ["log_id", "f", "window_ms"], "seq",
         {"latest": ("last", c("offer")), "max_ts": ("max", F.when(is_offer, c("ts_ms"))), "timeless": ("sum", F.when(is_offer & c("ts_ms").isNull(), 1))}, include_self=False, width=width,
     )
     gap = c("ts_ms") - c("latest.ts_ms")
@@ -96,7 +107,8 @@ def caller_links(events: DataFrame, reach: DataFrame, width: int = WIDTH) -> Dat
     best = F.max(F.when(fits, F.struct(c("latest.seq").alias("caller_seq"), (-c("latest.hops")).alias("h"), c("latest.kind").alias("kind")))).alias("m")
     per = cut(rows.where(~is_offer & c("latest").isNotNull()).groupBy("log_id", "seq").agg(best, F.bool_or(doubt).alias("doubt")))
     unsure = per.where("doubt").select(c("log_id").alias("u1"), c("seq").alias("u2"))
-    slow = _by_caller(e.join(unsure, c("log_id").eqNullSafe(c("u1")) & (c("seq") == c("u2")), "left_semi"), e, wanted, width)
+    again = e.join(unsure, c("log_id").eqNullSafe(c("u1")) & (c("seq") == c("u2")), "left_semi").join(classes, c("function_id") == c("f")).drop("f")
+    slow = _by_caller(again, e, offers, width)
     out = per.where("not doubt and m is not null").select("log_id", "seq", "m").unionByName(slow)
     return out.select("log_id", "seq", c("m.caller_seq").alias("caller_seq"), c("m.kind").alias("arrow_kind"), (-c("m.h")).alias("hops"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,22 @@ def local_session(cpus: int | str = 8, app: str = "loomtrace", **conf: str) -> S
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once a context, where their path does not hold it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if getattr(sc, "_loomtrace_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc._loomtrace_shipped = True
+    if root.endswith(".zip"):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-loomtrace-py-")  # served to the executors by the driver
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "loomtrace"), "zip", root, "loomtrace"))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, as Spark reads it from Parquet."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
