@@ -294,3 +294,25 @@ def facts(files: DataFrame, apis: tuple[AsyncApi, ...] = ASYNC_APIS) -> dict[str
     listed = listed.select("path", "fi", "body", "i", "line", c("tok").alias("name"), F.lit(None).cast("string").alias("field_name"), F.lit(3).alias("rank"))
     value_refs = fields.unionByName(assigns).unionByName(listed).select("path", "fi", "i", "line", "name", "field_name", F.lit(None).cast("string").alias("via_call"), "rank", F.lit(0).alias("sub"))
     return {"functions": fs, "calls": out_calls.drop("open"), "async_calls": async_calls, "refs": arg_refs.unionByName(value_refs)}
+
+
+def merge_units(x: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Fact tables of several analyses of one file (column ``unit``, the first counts) as those of one.
+
+    A function is known by its name and first line: the first unit that has it gives it and its calls; references at file
+    scope are kept of every unit. The functions of a path are numbered anew in the order units and numbers give.
+    """
+    c = F.col
+    fs = x["functions"]
+    key = Window.partitionBy("path", "name", "start_line").orderBy("unit", "fi")
+    first = fs.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
+    first = cut(first.withColumn("new_fi", F.row_number().over(Window.partitionBy("path").orderBy("unit", "fi")) - 1))
+    ids = first.select(c("path").alias("m_path"), c("unit").alias("m_unit"), c("fi").alias("m_fi"), "new_fi")
+    on = (c("path") == c("m_path")) & (c("unit") == c("m_unit")) & (c("fi") == c("m_fi"))
+    out = {"functions": first.withColumn("fi", c("new_fi")).drop("new_fi", "unit")}
+    for name in ("calls", "async_calls", "refs"):
+        kept = x[name].join(ids, on).withColumn("fi", c("new_fi")).drop("m_path", "m_unit", "m_fi", "new_fi", "unit")
+        if name == "refs":
+            kept = kept.unionByName(x[name].where("fi is null").drop("unit"))
+        out[name] = kept
+    return out

@@ -158,6 +158,16 @@ def clock(ms: Column) -> Column:
     )
 
 
+def clock_input(text: Column, base_date: Column, base_ms: Column) -> Column:
+    """What a user types as ``[date ]H:MM[:SS[.mmm]]`` as milliseconds since ``base_ms``; the date defaults to ``base_date``
+    (a text), and what is no time gives null."""
+    form = r"^\s*(?:(\d{4}-\d{2}-\d{2})\s+)?(\d{1,2}:\d{2})(:\d{2})?(\.\d{1,3})?\s*$"
+    part = lambda i: F.regexp_extract(text, form, i)
+    whole = F.concat_ws(" ", F.coalesce(F.nullif(part(1), F.lit("")), base_date), F.concat(F.lpad(part(2), 5, "0"), F.when(part(3) != "", part(3)).otherwise(F.lit(":00")), part(4)))
+    ok = text.rlike(form) & ((part(4) == "") | (part(3) != ""))
+    return F.when(ok, F.floor(F.unix_micros(whole.try_cast("timestamp_ntz").cast("timestamp")) / 1000) - base_ms)
+
+
 def thread_neighbours(events: DataFrame) -> DataFrame:
     """``seq, before_seq``: the record before of the same log and thread, for records with a thread."""
     e = events.where("thread_id is not null").select("log_id", "thread_id", "seq")

@@ -80,3 +80,41 @@ def test_settings(tmp_path):
     assert len(config.load().apis) == 12
     with pytest.raises(ValueError):
         config.settings({"async_apis": [{"name": "x", "kind": "odd"}]})
+
+
+def test_cache(spark, tmp_path):
+    from loomtrace.sources.cache import cached_facts
+
+    one = spark.createDataFrame([("a.c", "int f(void) { g(); }"), ("b.c", "int g(void) { f(); }"), ("c.c", "int h;")], files.FILES)
+    x, done = cached_facts(one, str(tmp_path / "state"))
+    assert sorted(r["path"] for r in done.collect()) == ["a.c", "b.c", "c.c"] and x["functions"].count() == 2
+    x, done = cached_facts(one, str(tmp_path / "state"))
+    assert done.count() == 0 and x["functions"].count() == 2 and x["calls"].count() == 2
+    two = spark.createDataFrame([("a.c", "int f2(void) { }"), ("c.c", "int h;")], files.FILES)
+    x, done = cached_facts(two, str(tmp_path / "state"))
+    assert [r["path"] for r in done.collect()] == ["a.c"] and [r["name"] for r in x["functions"].collect()] == ["f2"] and x["calls"].count() == 0
+    _, done = cached_facts(two, str(tmp_path / "state"), apis=())
+    assert done.count() == 2
+
+
+def test_merged_units(spark):
+    from loomtrace.operators.extract import facts, merge_units
+
+    body = "int f(void) { g(); }\nint k = 1; static T t = { .cb = f };\n"
+    x = [facts(spark.createDataFrame([("h.h", t)], files.FILES)) for t in (body, body + "int z(void) { f(); }")]
+    both = {n: x[0][n].withColumn("unit", F.lit(0)).unionByName(x[1][n].withColumn("unit", F.lit(1))) for n in x[0]}
+    m = merge_units(both)
+    assert [(r["name"], r["fi"]) for r in m["functions"].orderBy("fi").collect()] == [("f", 0), ("z", 1)]
+    assert sorted((r["fi"], r["name"]) for r in m["calls"].collect()) == [(0, "g"), (1, "f")]
+    assert m["refs"].where("fi is null and field_name = 'cb'").count() == 2
+
+
+def test_clock_input(spark):
+    from loomtrace.operators.query import clock, clock_input
+
+    rows = ["2026-10-07 1:02", "1:02:03.5", "1:02:03", "25:00", "x", "", None, "1:02.5", "2026-13-01 1:00"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    base = 1791331200000  # 2026-10-07 00:00
+    got = {r["i"]: r["m"] for r in d.select("i", clock_input(F.col("t"), F.lit("2026-10-07"), F.lit(base)).alias("m")).collect()}
+    assert got == {0: 3720000, 1: 3723500, 2: 3723000, 3: None, 4: None, 5: None, 6: None, 7: None, 8: None}
+    assert spark.range(1).select(clock(F.lit(-3723500).cast("long"))).first()[0] == "-1:02:03.500"
