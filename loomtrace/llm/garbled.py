@@ -228,6 +228,15 @@ def _decoded(raw: bytes, charset: str) -> str | None:
 _TO = {x: {b: ch for b, ch in enumerate(up) if ord(ch) != b} for x, up in _UP.items()}
 
 
+def _ending(word: str, raw: bytes, charset: str) -> str:
+    """A word whose beginning is clean: its longest ending that is UTF-8 read anew, else the word as it is."""
+    if charset == "utf_8" and len(word) == len(raw):
+        for i in range(1, len(word) - 1):
+            if raw[i] >= 0xC2 and (end := _decoded(raw[i:], charset)) is not None:
+                return word[:i] + end
+    return word
+
+
 def _step(pieces: list[tuple[str, bytes | None]], charset: str, wrong: str = "") -> str | None:
     """The pieces' bytes read with another charset: whole pieces, the words that allow it, or an ending; None if nothing changes."""
     suffixes = wrong if wrong not in _SINGLE and charset not in _SINGLE else ""
@@ -242,7 +251,7 @@ def _step(pieces: list[tuple[str, bytes | None]], charset: str, wrong: str = "")
             words = raw.split(b" ")
             olds = text.split(" ")
             if len(words) == len(olds):
-                news = [o if _ASCII.match(o) else (_decoded(w, charset) or o) for w, o in zip(words, olds)]
+                news = [o if _ASCII.match(o) else (_decoded(w, charset) or _ending(o, w, charset)) for w, o in zip(words, olds)]
                 new = " ".join(news)
         if new is None and suffixes:
             # a clean beginning that the charset can write as well: the longest ending that can be read
@@ -318,6 +327,32 @@ def nucleus(text: str) -> str:
     return " ".join(w for w, k in zip(words, keep) if k)
 
 
+def mended_words(text: str, model: Plausibility) -> tuple[float, str, tuple]:
+    """The text with some words read anew by one pair of single-byte charsets, where others are right as they are: the
+    gain, the new text and the step. For texts of which a part was decoded rightly."""
+    words = text.split(" ")
+    odd = [i for i, w in enumerate(words) if not _ASCII.match(w)]
+    best: tuple[float, str, tuple] = (0.0, text, ())
+    if len(odd) < 2:
+        return best
+    old = model.all_costs([f" {words[i]} " for i in odd])
+    total = model.cost(folded(text))
+    for wrong in WRONG:
+        if wrong not in _SINGLE:
+            continue
+        for true in TRUE:
+            if true not in _SINGLE or true == wrong:
+                continue
+            new = [_step(_encoded(words[i], wrong), true) or words[i] for i in odd]
+            swap = {i: n for i, n, a, b in zip(odd, new, old, model.all_costs([f" {n} " for n in new])) if b < a - 1}
+            if swap:
+                out = " ".join(swap.get(i, w) for i, w in enumerate(words))
+                gain = total - model.cost(folded(out)) - 1
+                if gain > best[0]:
+                    best = (gain, out, (("words", tuple((words[i], n) for i, n in swap.items())),))
+    return best
+
+
 def judged(text: str, model: Plausibility) -> tuple[bool, str | None, tuple]:
     """Whether a text is garbled, its restored form (None: not garbled, or no better text can be reached), and the steps."""
     framed = folded(text.replace("\ufeff", ""))
@@ -327,6 +362,8 @@ def judged(text: str, model: Plausibility) -> tuple[bool, str | None, tuple]:
     # what failed decoding has destroyed can't come back: only the rest is worth a few steps
     start, cost, new, path = search(text.replace("\ufeff", ""), model, 3 if "\ufffd" in text else MAX_EXPANSIONS)
     gain = start - cost
+    if not broken and (gain < MARGIN or model.suspicious(folded(new))):
+        gain, new, path = max((gain, new, path), mended_words(text.replace("\ufeff", ""), model), key=lambda x: x[0])
     nw = model.windows(folded(new))
     known = not len(nw) or float(np.mean(nw)) < 0.5 * (model.unseen + model.usual) + 0.5
     better = bool(path) and gain >= MARGIN and known
@@ -347,6 +384,10 @@ def _judge(model: Plausibility, column: str, key: str, lines: bool):
         if not path:
             return g, None
         for a, b in path:
+            if a == "words":
+                swap = dict(b)
+                text = " ".join(swap.get(w, w) for w in text.split(" "))
+                continue
             text = unescaped(text) if a == "unescape" else (_step(_encoded(text, a), b, a) or text)
         return g, text
 

@@ -38,6 +38,12 @@ def test_twice_and_in_part(model):
     assert g.judged(half, model)[:2] == (True, CLEAN[2])
 
 
+def test_right_and_wrong_words(model):
+    words = CLEAN[0].split(" ")
+    bad = " ".join([words[1], *(w.encode("mac_roman").decode("cp1252") if any(c > "~" for c in w) else w for w in words[2:])])
+    assert bad != " ".join(words[1:]) and g.judged(bad, model)[:2] == (True, " ".join(words[1:]))
+
+
 def test_destroyed(model):
     assert g.judged("la demande est rejet�e", model)[0] is True
     assert g.judged(CLEAN[5].encode("cp949").decode("utf-8", "replace"), model)[0] is True
