@@ -130,6 +130,37 @@ def edge_lines(edges: DataFrame) -> DataFrame:
     return strongest_edges(edges).select("ord", F.concat(F.lit("  "), quote("caller"), F.lit(" -> "), quote("callee"), F.lit(" [style="), style, F.lit("];")).alias("dot"))
 
 
+def dot_document(functions: DataFrame, edges: DataFrame, logged: DataFrame | None = None) -> DataFrame:
+    """``part, module, node, ord, line``: a whole DOT graph as rows, to be read in order of the first four columns.
+
+    Functions stand in a cluster of their module, sorted; nodes without a function stand loose; then the edges in order.
+    ``logged`` (column ``function_id``) highlights nodes. Parts: 0 the head, 1 clusters, 2 loose nodes, 3 edges, 4 the end.
+    """
+    c = F.col
+    spark = edges.sparkSession
+    text = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    e = strongest_edges(edges)
+    ends = e.select(c("caller").alias("node")).unionByName(e.select(c("callee").alias("node"))).distinct()
+    f = first_functions(functions).select(c("function_id").alias("f"), "name", F.coalesce("module", F.lit("")).alias("module"))
+    nodes = ends.join(f, c("node") == c("f"), "left")
+    if logged is not None:
+        nodes = nodes.join(logged.select(c("function_id").alias("lit")).distinct(), c("node") == c("lit"), "left")
+    else:
+        nodes = nodes.withColumn("lit", F.lit(None).cast("string"))
+    mark = F.when(c("lit").isNotNull(), ", style=filled").otherwise("")
+    null_s, zero = F.lit("").alias("node"), F.lit(0).cast("long")
+    inner = nodes.where("f is not null")
+    line = F.concat(F.lit("    "), text(c("node")), F.lit(" [label="), text(c("name")), mark, F.lit("];"))
+    rows = inner.select(F.lit(1).alias("part"), "module", "node", F.lit(1).cast("long").alias("ord"), line.alias("line"))
+    mods = inner.select("module").distinct()
+    rows = rows.unionByName(mods.select(F.lit(1).alias("part"), "module", null_s, zero.alias("ord"), F.concat(F.lit("  subgraph "), text(F.concat(F.lit("cluster_"), "module")), F.lit(" { label="), text(c("module")), F.lit(";")).alias("line")))
+    rows = rows.unionByName(mods.select(F.lit(1).alias("part"), "module", F.lit("\uffff").alias("node"), zero.alias("ord"), F.lit("  }").alias("line")))
+    rows = rows.unionByName(nodes.where("f is null").select(F.lit(2).alias("part"), F.lit("").alias("module"), "node", zero.alias("ord"), F.concat(F.lit("  "), text(c("node")), F.lit(";")).alias("line")))
+    rows = rows.unionByName(edge_lines(edges).select(F.lit(3).alias("part"), F.lit("").alias("module"), null_s, c("ord").cast("long").alias("ord"), c("dot").alias("line")))
+    frame = spark.createDataFrame([(0, "", "", 0, "digraph callgraph {"), (4, "", "", 0, "}")], "part int, module string, node string, ord long, line string")
+    return rows.unionByName(frame)
+
+
 def detail_lines(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """``part, key, json``: the graph's detail export, one JSON object a function and edge; absent fields are left out."""
     f = first_functions(functions).select(

@@ -164,3 +164,14 @@ def test_payload(spark, events, tables, tmp_path):
     pl.write(t, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "lane")).count() == 3
     assert pl.json_lines(t["nodes"]).first()["value"].startswith("[")
+
+
+def test_dot_document(spark, tables):
+    f, e = tables
+    logged = spark.createDataFrame([("a.c::g",), ("a.c::g",), (None,)], "function_id string")
+    lines = [r["line"] for r in g.dot_document(f, e, logged).orderBy("part", "module", "node", "ord").collect()]
+    assert lines == [
+        "digraph callgraph {", '  subgraph "cluster_x" { label="x";', '    "a.c::f" [label="f"];', '    "a.c::g" [label="g", style=filled];', "  }", f'  "{g.UNRESOLVED}";',
+        '  "a.c::f" -> "a.c::g" [style=dotted];', f'  "a.c::g" -> "{g.UNRESOLVED}" [style=solid];', '  "a.c::g" -> "a.c::g" [style=solid];', "}",
+    ]
+    assert g.dot_document(f, e.where("false")).count() == 2
