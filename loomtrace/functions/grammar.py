@@ -85,7 +85,10 @@ class Grammar:
 
     def module_and_rest(self, body: Column) -> Column:
         """STRUCT<module, rest> of a head: a field of fixed width, or all of a short line, or the first word."""
-        after, w = self._after(body), self.module_width
+        return self._split(self._after(body))
+
+    def _split(self, after: Column) -> Column:
+        w = self.module_width
         fixed = (F.length(after) > w) & (F.substring(after, w + 1, 1) == " ") & (strip(F.substring(after, 1, w)) != "")
         parts = F.split(F.regexp_replace(after, r"(?U)^\s+", ""), r"(?U)\s+", 2)
         return (
@@ -137,17 +140,21 @@ class Grammar:
         """
         c = F.col
         is_s, is_t = c(kind) == "STRUCTURED", c(kind) == "TRACE"
-        df = df.withColumn("_head", F.when(is_s, self.module_and_rest(c(body)))).withColumn("_rest", c("_head.rest"))
-        df = df.withColumn("_place", F.when(is_s, self.trailer(c("_rest")))).withColumn("_trace", F.when(is_t, self.trace(c(body))))
-        before = F.when(c("_place").isNotNull(), self.before_trailer(c("_rest"))).otherwise(rstrip(c("_rest")))
+        df = df.withColumn("_lead", F.when(is_s, F.regexp_extract(c(body), f"({HEAD})", 1))).withColumn("_lvl", F.regexp_extract("_lead", HEAD, 2))
+        after = F.substring(c(body), F.length("_lead") + 1, F.length(c(body)))
+        df = df.withColumn("_after", F.when(F.length("_lvl") < 5, F.ltrim(after)).otherwise(after)).withColumn("_head", F.when(is_s, self._split(c("_after"))))
+        # the place at the end is looked for once; its parts are taken from the short text found
+        df = df.withColumn("_rest", c("_head.rest")).withColumn("_tail", F.regexp_extract("_rest", rf"(?U)(\s\({FILE}:\d+ {FUNC}\)\s*)$", 1))
+        df = df.withColumn("_place", F.when(c("_tail") != "", self.trailer(c("_tail")))).withColumn("_trace", F.when(is_t, self.trace(c(body))))
+        before = rstrip(F.substring("_rest", F.lit(1), F.length("_rest") - F.length("_tail")))
         return df.withColumns(
             {
-                "level": F.when(is_s, level_of(self.level(c(body)))).otherwise("UNKNOWN"),
-                "tick": F.when(is_s, self.tick(c(body))),
+                "level": F.when(is_s, c("_lvl")).otherwise("UNKNOWN"),
+                "tick": some(F.regexp_extract("_lead", HEAD, 1)).cast("decimal(38,0)"),
                 "module_name": some(c("_head.module")),
                 "function_name": F.coalesce("_place.func", "_trace.func"),
                 "message": F.when(is_s, before).when(is_t, c("_trace.message")).otherwise(strip(c(body))),
                 "file_name": c("_place.file"),
                 "line_number": F.coalesce("_place.line", "_trace.line"),
             }
-        ).drop("_head", "_rest", "_place", "_trace")
+        ).drop("_lead", "_lvl", "_after", "_head", "_rest", "_tail", "_place", "_trace")
