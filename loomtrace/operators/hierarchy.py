@@ -24,7 +24,6 @@ WIDTH = 1 << 15
 ONE_TASK = 200_000
 ONE_TASK_EDGES = 400_000
 
-_FOREST = "id long, parent long, w long, root long, base long, bad boolean"
 _SOLVED = "id long, root long, depth long, exit long, exit_dist long, bad boolean"
 
 
