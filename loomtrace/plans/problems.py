@@ -31,9 +31,23 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(load(spark, d, "sequence_events"))
 
 
+_TREE = """e AS (SELECT seq, min(parent_seq) AS parent_seq FROM sequence_events WHERE seq IS NOT NULL GROUP BY 1),
+    p AS (SELECT c.seq, c.parent_seq FROM e c JOIN e u ON c.parent_seq = u.seq),
+    down AS (SELECT seq, seq AS root, 0 AS depth, seq::VARCHAR AS path FROM e WHERE seq NOT IN (SELECT seq FROM p)
+             UNION ALL SELECT p.seq, down.root, down.depth + 1, down.path || '/' || p.seq FROM down JOIN p ON p.parent_seq = down.seq)"""
+
+P5_FOUND = f"""WITH RECURSIVE {_TREE}, g AS (SELECT DISTINCT caller, callee FROM call_edges WHERE caller IS NOT NULL AND callee IS NOT NULL),
+    r AS (SELECT caller, callee FROM g UNION SELECT r.caller, g.callee FROM r JOIN g ON r.callee = g.caller)
+    SELECT 'parent' AS relation, e.seq::VARCHAR AS node, coalesce(root::VARCHAR, 'cycle') AS root FROM e LEFT JOIN down USING (seq) WHERE e.parent_seq IS NOT NULL
+    UNION ALL SELECT 'call', caller, 'cycle' FROM r WHERE caller = callee AND caller IN (SELECT function_id FROM source_functions)"""
+
+P5_HIERARCHY = f"""WITH RECURSIVE {_TREE}, a AS (SELECT seq, unnest(string_split(path, '/'))::BIGINT AS anc FROM down), n AS (SELECT anc AS seq, count(*) - 1 AS descendants FROM a GROUP BY 1)
+    SELECT e.seq AS node, down.root, down.depth, down.seq IS NULL AS cycle, down.path, n.descendants FROM e LEFT JOIN down USING (seq) LEFT JOIN n USING (seq)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_FOUND, "p5_hierarchy": P5_HIERARCHY}
