@@ -31,6 +31,7 @@ MAX_EXPANSIONS = 8
 SLACK = 3.0
 UTF8_BONUS = 6.0
 _CACHE = 200_000
+LONG = 4_000
 
 # fixed values: charsets a text may have been decoded with by mistake, and may really have been written in
 WRONG = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman", "cp932", "gb18030", "cp949", "iso8859_5")
@@ -39,6 +40,7 @@ TRUE = ("utf_8", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp866", "cp932", "e
 _ASCII = re.compile(r"[\x00-\x7f]*\Z")
 _DIGITS = re.compile(r"[0-9]+")
 _BROKEN = re.compile("[�\x80-\x9f-￰-￻\U000f0000-\U0010ffff]")
+_PARTS = re.compile(r"(?s).{1,2000}(?:\s|\Z)|.{1,2000}")
 _MARKS = re.compile("\ufffd{2,}")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{4,8});")
 
@@ -374,6 +376,10 @@ def _judge(model: Plausibility, column: str, key: str, lines: bool):
     seen: dict[str, tuple[bool, tuple]] = {}
 
     def one(text: str) -> tuple[bool, str | None]:
+        if len(text) > LONG:  # a long text is judged in parts, cut at blanks where it has any
+            got = [(one(x), x) for x in _PARTS.findall(text)]
+            fixed = any(new is not None for (_, new), _ in got)
+            return any(g for (g, _), _ in got), "".join(x if new is None else new for (_, new), x in got) if fixed else None
         k = nucleus(text)
         if k not in seen:
             if len(seen) >= _CACHE:

@@ -64,6 +64,13 @@ def test_records(spark):
     assert g.find_garbled(spark, [("log_entries", logs.where("false"), "seq", "message", False)]).count() == 0
 
 
+def test_long_texts(spark, model):
+    clean = " ".join(CLEAN[:2] * 300)
+    d = spark.createDataFrame([(1, clean.encode().decode("latin-1")), (2, clean), (3, "語" * 50_000), (4, CLEAN[3] * 2000)], "seq long, message string")
+    got = {r["record_key"]: r["restored"] for r in g.find_garbled(spark, [("t", d, "seq", "message", False)], model).collect()}
+    assert got.get("1") == clean and "2" not in got and "4" not in got
+
+
 def test_escapes():
     assert g.unescaped("caf&eacute; \\u00e9 &amp;") == "café é &amp;" or g.unescaped("caf&eacute;") == "café"
     assert g.nucleus("lock 0x12 acquired after 54.06 µs now and then") == "0.0 µs now"
