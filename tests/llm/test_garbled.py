@@ -31,6 +31,14 @@ def test_round_trip(model, i, true, wrong):
     assert found and restored == CLEAN[i]
 
 
+@pytest.mark.parametrize("i,true,wrong", [(2, "iso8859-5", "cp1251"), (0, "cp437", "cp1251"), (1, "cp850", "latin-1"), (10, "iso8859-7", "cp1252"), (10, "iso8859-7", "latin-1")])
+def test_rarer_charsets(spark, i, true, wrong):
+    texts = [*CLEAN, "το αρχείο καταγραφής απορρίπτει το παλιό πακέτο μετά την προσπάθεια"]
+    text = texts[i].replace("’", "'")
+    model = g.Plausibility(g.window_counts(spark.createDataFrame([(x.replace("’", "'"),) for x in texts * 40], "t string")))
+    assert g.judged(text.encode(true).decode(wrong), model)[:2] == (True, text)
+
+
 def test_twice_and_in_part(model):
     bad = CLEAN[2].encode().decode("cp1251").encode().decode("latin-1")
     assert g.judged(bad, model)[:2] == (True, CLEAN[2])
