@@ -40,6 +40,8 @@ TRUE = ("utf_8", "cp1252", "mac_roman", "cp1251", "koi8_r", "cp866", "cp437", "c
 _ASCII = re.compile(r"[\x00-\x7f]*\Z")
 _DIGITS = re.compile(r"[0-9]+")
 _BROKEN = re.compile("[�\x80-\x9f-￰-￻\U000f0000-\U0010ffff]")
+_BROKEN_WORD = re.compile(r"\w\ufffd|\ufffd\w")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _PARTS = re.compile(r"(?s).{1,2000}(?:\s|\Z)|.{1,2000}")
 _MARKS = re.compile("\ufffd{2,}")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{4,8});")
@@ -94,7 +96,7 @@ def _count(column: str):
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for pdf in batches:
-            texts = [t for t in pdf[column] if t]
+            texts = [readable(t) for t in pdf[column] if t]
             if texts:
                 total += np.bincount(_windows(_points("\n\n".join(["", *(folded(t)[2:-2] for t in texts), ""])))[0].astype(np.int64), minlength=BUCKETS)
         at = np.nonzero(total)[0]
@@ -227,6 +229,38 @@ def _decoded(raw: bytes, charset: str) -> str | None:
         return None
 
 
+def _traces() -> re.Pattern:
+    """What the bytes of U+FFFD look like in other charsets: all that is left of a character that was lost before."""
+    out = set()
+    for x in WRONG:
+        try:
+            out.add((b"\xef\xbf\xbd" * (1 if x in _SINGLE else 2)).decode(x))
+        except UnicodeDecodeError:
+            continue
+    return re.compile("|".join(re.escape(x) for x in sorted(out)))
+
+
+_TRACE = _traces()
+# UTF-8 of which bytes were lost as "?", with the sequences that are whole, and losses between letters
+_LOST = rb"[\xc2-\xdf]\?|[\xe0-\xef](?:\?[\x80-\xbf?]|[\x80-\xbf]\?)"
+_WHOLE = rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}"
+_LOSSY = re.compile(rb"(?s)(?:[\x00-\x7f]|" + _WHOLE + b"|" + _LOST + rb")*\Z")
+_SEQUENCE = re.compile(b"(" + _WHOLE + b")|(?:" + _LOST + b")")
+_BETWEEN = re.compile(rb"[A-Za-z](?:" + _LOST + rb")[a-z]")
+
+
+def lossy_utf8(text: str) -> bool:
+    """Whether a text is UTF-8 read with a single-byte charset throughout, some of its bytes having become question marks."""
+    if "?" not in text:
+        return False
+    for wrong in WRONG:
+        if wrong in _SINGLE and len(pieces := _encoded(text, wrong)) == 1 and (raw := pieces[0][1]) is not None and _LOSSY.match(raw):
+            found = [m.group(1) is not None for m in _SEQUENCE.finditer(raw)]
+            if not all(found) and (len(found) > 1 and any(found) or _BETWEEN.search(raw)):
+                return True
+    return False
+
+
 _TO = {x: {b: ch for b, ch in enumerate(up) if ord(ch) != b} for x, up in _UP.items()}
 
 
@@ -269,12 +303,21 @@ def _step(pieces: list[tuple[str, bytes | None]], charset: str, wrong: str = "")
 
 
 def unescaped(text: str) -> str:
-    """HTML references and \\uXXXX resolved."""
-    return _ESCAPE.sub(lambda m: chr(int(m.group()[2:], 16)) if m.group()[0] == "\\" else html.unescape(m.group()), text)
+    """HTML references and \\uXXXX resolved; halves of surrogate pairs stay as they are written."""
+    out = _ESCAPE.sub(lambda m: chr(int(m.group()[2:], 16)) if m.group()[0] == "\\" else html.unescape(m.group()), text)
+    if _SURROGATE.search(out):
+        out = _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass"))
+    return out
+
 
+def readable(text: str) -> str:
+    """The text itself, or what it says if it is ASCII with escapes."""
+    return unescaped(text) if _ASCII.match(text) and _ESCAPE.search(text) else text
 
-def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS) -> tuple[float, float, str, tuple]:
-    """Best-first search from a text: its own cost, the cheapest cost reached, that text, and the steps to it.
+
+def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS) -> tuple[float, float, str, tuple, bool]:
+    """Best-first search from a text: its own cost, the cheapest cost reached, that text, the steps to it, and whether
+    whole bytes led to U+FFFD, so that characters were lost before.
 
     Every step costs 1, so that a text is changed only for a gain. Ties go to fewer steps.
     """
@@ -284,6 +327,8 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
     heap: list[tuple[float, float, int, str, tuple]] = [(start, *best)]
     visited = {text}
     n = 0
+    lost = False
+    damaged = _BROKEN.search(text) is not None
     while heap and n < max_expansions:
         _, cost, depth, now, path = heapq.heappop(heap)
         n += 1
@@ -300,12 +345,17 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
                 continue
             written.add(key)
             for true in TRUE:
-                if true != wrong and (new := _step(pieces, true, wrong)) is not None and new not in visited and (marred or not _BROKEN.search(new)):
+                if true != wrong and (new := _step(pieces, true, wrong)) is not None and new not in visited:
+                    if not marred and _BROKEN.search(new):
+                        if true != "utf_8":
+                            continue
+                        # no accident: what had been lost, or C1 controls that another step may read
+                        lost |= "\ufffd" in new
                     nexts.setdefault(new, (wrong, true))
         visited.update(nexts)
         for (new, step), c in zip(nexts.items(), model.all_costs(list(nexts)) + depth + 1 if nexts else ()):
             c = float(c)
-            if c < best[0]:
+            if c < best[0] and (damaged or not _BROKEN.search(new)):
                 best = (c, depth + 1, new, (*path, step))
             if c < start + SLACK:
                 # bytes that happen to be UTF-8 throughout are no accident: such texts are looked at first
@@ -313,7 +363,7 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
                 heapq.heappush(heap, (c - sure, c, depth + 1, new, (*path, step)))
         if best[1] and not model.suspicious(folded(best[2])):
             break
-    return start, best[0], best[2], best[3]
+    return start, best[0], best[2], best[3], lost
 
 
 def nucleus(text: str) -> str:
@@ -355,37 +405,50 @@ def mended_words(text: str, model: Plausibility) -> tuple[float, str, tuple]:
     return best
 
 
-def judged(text: str, model: Plausibility) -> tuple[bool, str | None, tuple]:
-    """Whether a text is garbled, its restored form (None: not garbled, or no better text can be reached), and the steps."""
+def judged(text: str, model: Plausibility, escaped: bool = False) -> tuple[bool, str | None, tuple]:
+    """Whether a text is garbled, its restored form (None: not garbled, or no better text can be reached), and the steps.
+
+    ASCII texts are judged by what their escapes say; a U+FFFD escaped by itself, or an escaped control, is meant as such.
+    """
+    said = readable(text)
+    escaped, text = escaped or said != text, said
     framed = folded(text.replace("\ufeff", ""))
-    broken = _BROKEN.search(text) is not None
-    if not broken and not model.suspicious(framed):
+    broken = (_BROKEN_WORD if escaped else _BROKEN).search(text) is not None
+    if escaped and not broken and _ASCII.match(_BROKEN.sub("", text)):
+        return False, None, ()
+    traced = _TRACE.search(text) is not None
+    if not broken and not traced and not model.suspicious(framed):
         return False, None, ()
-    start, cost, new, path = search(text.replace("\ufeff", ""), model)
+    start, cost, new, path, lost = search(text.replace("\ufeff", ""), model)
     gain = start - cost
     if not broken and (gain < MARGIN or model.suspicious(folded(new))):
         gain, new, path = max((gain, new, path), mended_words(text.replace("\ufeff", ""), model), key=lambda x: x[0])
     nw = model.windows(folded(new))
     known = not len(nw) or float(np.mean(nw)) < 0.5 * (model.unseen + model.usual) + 0.5
     better = bool(path) and gain >= MARGIN and known
-    return broken or better, (new if better else None), path if better else ()
+    found = broken or better or traced or lost or lossy_utf8(text)
+    return found, (new if better else None), path if better else ()
 
 
 def _judge(model: Plausibility, column: str, key: str, lines: bool):
-    seen: dict[str, tuple[bool, tuple]] = {}
+    seen: dict[tuple[str, bool], tuple[bool, tuple]] = {}
 
     def one(text: str) -> tuple[bool, str | None]:
         if len(text) > LONG:  # a long text is judged in parts, cut at blanks where it has any
             got = [(one(x), x) for x in _PARTS.findall(text)]
             fixed = any(new is not None for (_, new), _ in got)
             return any(g for (g, _), _ in got), "".join(x if new is None else new for (_, new), x in got) if fixed else None
-        k = nucleus(text)
-        if k not in seen:
+        said = readable(text)
+        escaped, text = said != text, said
+        if _ASCII.match(text):
+            return False, None
+        k = text if escaped or _ESCAPE.search(text) else nucleus(text)
+        if (k, escaped) not in seen:
             if len(seen) >= _CACHE:
                 seen.clear()
-            g, _, path = judged(k, model)
-            seen[k] = (g, path)
-        g, path = seen[k]
+            g, _, path = judged(k, model, escaped)
+            seen[k, escaped] = (g, path)
+        g, path = seen[k, escaped]
         if not path:
             return g, None
         for a, b in path:
@@ -401,7 +464,7 @@ def _judge(model: Plausibility, column: str, key: str, lines: bool):
             out = []
             for k, text in zip(pdf[key], pdf[column]):
                 if lines:
-                    parts = [(one(x) if not _ASCII.match(x) else (False, None), x) for x in text.split("\n")]
+                    parts = [(one(x) if not _ASCII.match(x) or _ESCAPE.search(x) else (False, None), x) for x in text.split("\n")]
                     if any(g for (g, _), _ in parts):
                         fixed = any(new is not None for (_, new), _ in parts)
                         out.append((k, "\n".join(x if new is None else new for (_, new), x in parts) if fixed else None))
@@ -415,7 +478,7 @@ def _judge(model: Plausibility, column: str, key: str, lines: bool):
 
 
 def _unusual(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).rlike(r"[^\x00-\x7f]|&#?[0-9A-Za-z]{2,8};"))
+    return df.where(F.col(column).rlike(r"[^\x00-\x7f]|&#?[0-9A-Za-z]{2,8};|\\u[0-9a-fA-F]{4}"))
 
 
 Table = tuple[str, DataFrame, str, str, bool]

@@ -57,6 +57,24 @@ def test_destroyed(model):
     assert g.judged(CLEAN[5].encode("cp949").decode("utf-8", "replace"), model)[0] is True
 
 
+def test_damaged_before(model):
+    for t in ("la demande est rejetï¿½e", "配置加载程序锟斤拷作业", "die PrÃ¼fung der GerÃ?te", CLEAN[5].encode("cp949").decode("utf-8", "replace").encode().decode("cp1252", "ignore")):
+        assert g.judged(t, model)[0] is True, t
+    assert g.judged("la demande est rejetï¿½e", model)[1] is None
+    assert g.judged("is it à la carte? è così", model)[0] is False
+    # C1 controls on the way
+    assert g.judged("der Überwachungsfaden".encode().decode("latin-1").encode().decode("cp1252"), model)[:2] == (True, "der Überwachungsfaden")
+
+
+def test_escaped(spark, model):
+    bad = "der &Atilde;&frac14;bern&Atilde;&curren;chste Schritt"
+    u = lambda t: "".join(c if c < "\x7f" else f"\\u{ord(c):04x}" for c in t)
+    rows = [(1, bad), (2, u(CLEAN[0].encode().decode("latin-1"))), (3, u(CLEAN[3])), (4, "rejet\\ufffde"), (5, "'\\ufffd'"), (6, "&amp; \\u0041"), (7, "\\ud83d x \\u0085")]
+    got = {r["record_key"]: r["restored"] for r in g.find_garbled(spark, [("t", spark.createDataFrame(rows, "seq long, message string"), "seq", "message", False)], model).collect()}
+    assert set(got) == {"1", "2", "4"} and got["2"] == CLEAN[0] and got["4"] is None
+    assert g.unescaped("\\ud83d\\ude00 \\ud83d") == "\U0001f600 \\ud83d"
+
+
 def test_costs_of_many_are_those_of_each(model):
     texts = [*CLEAN, "a\nb é", "", "Ünïcode 123"]
     assert all(abs(a - model.cost(g.folded(t))) < 1e-3 for a, t in zip(model.all_costs(texts), texts))
