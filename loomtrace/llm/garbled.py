@@ -7,7 +7,7 @@ corpus; windows never seen cost by the classes of their characters. The search e
 the hashes of visited texts, and ends when the frontier can't get cheaper. A record is garbled if it holds characters
 that only a failed decoding leaves (U+FFFD, C1 controls, private use) or if a clearly cheaper, well-known text can be reached.
 
-The window counts are taken over all rows in one pass (hashed into a table of fixed size, so that the model is bounded
+The window counts are taken over all rows, and over distinct texts, in one pass (hashed into a table of fixed size, so that the model is bounded
 whatever the corpus); the search runs in Arrow batches, remembers texts that differ only in numbers, and sees only rows
 with a non-ASCII character.
 """
@@ -115,10 +115,30 @@ def window_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
+def _count_both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial window counts of distinct texts t that occur n times each: by rows, and by distinct texts."""
+    rows, once = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for pdf in batches:
+        pdf = pdf[pdf["t"].fillna("") != ""]
+        if len(pdf):
+            p = _points("\n\n".join(["", *(folded(readable(t))[2:-2] for t in pdf["t"]), ""]))
+            h, at = _windows(p)
+            of = (np.cumsum(p == 10) - 1) // 2
+            first = np.minimum(np.where(p[at] == 10, of[np.minimum(at + 2, len(p) - 1)], of[at]), len(pdf) - 1)
+            h = h.astype(np.int64)
+            rows += np.bincount(h, weights=pdf["n"].to_numpy(float)[first], minlength=BUCKETS)
+            once += np.bincount(h, minlength=BUCKETS)
+    at = np.nonzero(rows)[0]
+    if len(at):
+        yield pd.DataFrame({"bucket": at, "n": rows[at].astype(np.int64), "m": once[at].astype(np.int64)})
+
+
 class Plausibility:
-    """Costs of texts by the window counts of a corpus."""
+    """Costs of texts by the window counts of a corpus; ``distinct``, if given, are those of its distinct texts, by which
+    texts that seem all right are judged once more: repetition makes a text plausible by rows, but not by those."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, distinct: np.ndarray | None = None):
+        self.distinct = None if distinct is None else Plausibility(distinct)
         total = max(int(counts.sum()), 1)
         with np.errstate(divide="ignore"):
             self.costs = np.where(counts > 0, np.log(total / np.maximum(counts, 0.5)), -1).astype(np.float32)
@@ -134,13 +154,27 @@ class Plausibility:
         h, at = _windows(p)
         if not len(at):
             return False
-        k = _CLASS[np.minimum(p, 0xFFFF).astype(np.int64)]
-        if _ODD[k[at], k[at + 1]].any() or (k[at] == 9).any():
+        if self._odd(p, at):
             return True
         cost = self.costs[h.astype(np.int64)]
         rare = (cost < 0) | (cost > self.usual)
         return bool(len(at) > 2 and (rare[:-2] & rare[1:-1] & rare[2:] & (at[2:] - at[:-2] == 2)).any())
 
+    @staticmethod
+    def _odd(p: np.ndarray, at: np.ndarray) -> bool:
+        k = _CLASS[np.minimum(p, 0xFFFF).astype(np.int64)]
+        return bool(_ODD[k[at], k[at + 1]].any() or (k[at] == 9).any())
+
+    def vouched(self, old: str, new: str) -> bool:
+        """Whether the corpus speaks for a change of a folded text: the old one has characters side by side that don't go
+        together, or of the windows that came in a third is known. Rare texts may else be changed into unknown ones that are shorter."""
+        p = _points(old)
+        h, at = _windows(p)
+        if self._odd(p, at):
+            return True
+        came = np.setdiff1d(_windows(_points(new))[0], h)
+        return not len(came) or float(np.mean(self.costs[came.astype(np.int64)] >= 0)) >= 1 / 3
+
     def windows(self, text: str) -> np.ndarray:
         """The cost of each window that holds a non-ASCII character."""
         p = _points(text)
@@ -412,6 +446,15 @@ def judged(text: str, model: Plausibility, escaped: bool = False) -> tuple[bool,
     """
     said = readable(text)
     escaped, text = escaped or said != text, said
+    got = _judged(text, model, escaped, False)
+    if model.distinct is not None and got[1] is None:
+        again = _judged(text, model.distinct, escaped, True)
+        got = again if again[1] is not None else (got[0] or again[0], None, ())
+    return got
+
+
+def _judged(text: str, model: Plausibility, escaped: bool, strict: bool) -> tuple[bool, str | None, tuple]:
+    """``judged`` by one table of counts; ``strict`` asks for a corpus that speaks for the change, where texts count once."""
     framed = folded(text.replace("\ufeff", ""))
     broken = (_BROKEN_WORD if escaped else _BROKEN).search(text) is not None
     if escaped and not broken and _ASCII.match(_BROKEN.sub("", text)):
@@ -425,7 +468,7 @@ def judged(text: str, model: Plausibility, escaped: bool = False) -> tuple[bool,
         gain, new, path = max((gain, new, path), mended_words(text.replace("\ufeff", ""), model), key=lambda x: x[0])
     nw = model.windows(folded(new))
     known = not len(nw) or float(np.mean(nw)) < 0.5 * (model.unseen + model.usual) + 0.5
-    better = bool(path) and gain >= MARGIN and known
+    better = bool(path) and gain >= MARGIN and known and (broken or not strict or any(b == "utf_8" for _, b in path) or model.vouched(framed, folded(new)))
     found = broken or better or traced or lost or lossy_utf8(text)
     return found, (new if better else None), path if better else ()
 
@@ -489,12 +532,18 @@ def _texts(tables: list[Table]) -> list[tuple[str, DataFrame, bool]]:
 
 
 def source_model(tables: list[Table]) -> Plausibility:
-    """The plausibility of characters by all texts of the tables."""
+    """The plausibility of characters by all texts of the tables, by rows and by distinct texts."""
     corpus = None
     for _, df, lines in _texts(tables):
         texts = _unusual(df.select(F.explode(F.split("t", "\n")).alias("t") if lines else "t"), "t")
         corpus = texts if corpus is None else corpus.unionByName(texts)
-    return Plausibility(window_counts(corpus))
+    # texts that differ in numbers, letter case and outer blanks only are one text; escapes keep their digits and case
+    same = F.regexp_replace(F.lower(F.trim("t")), "[0-9]+", "0")
+    texts = corpus.select(F.when(F.col("t").rlike(_ESCAPE.pattern), F.col("t")).otherwise(same).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    part = texts.mapInPandas(_count_both, "bucket long, n long, m long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toPandas()
+    counts = np.zeros((2, BUCKETS), np.int64)
+    counts[:, part["bucket"].to_numpy(np.int64)] = part[["n", "m"]].to_numpy(np.int64).T
+    return Plausibility(counts[0], counts[1])
 
 
 def find_garbled(spark: SparkSession, tables: list[Table], model: Plausibility | None = None) -> DataFrame:

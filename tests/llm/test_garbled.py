@@ -90,6 +90,17 @@ def test_records(spark):
     assert g.find_garbled(spark, [("log_entries", logs.where("false"), "seq", "message", False)]).count() == 0
 
 
+def test_repetition_is_no_evidence(spark):
+    """A garbled message that holds a third of all rows, with numbers that differ, is found in each of them."""
+    bad = CLEAN[2].encode("koi8_r").decode("cp1251")
+    words = ["очередь", "таймер", "канал", "буфер", "поток", "сокет", "адрес", "ключ", "файл", "узел"]
+    clean = [f"{CLEAN[2]} {a} {b} {i}" for i in range(3) for a in words for b in words]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(10_000 + i, f"{bad} {i}") for i in range(150)]
+    d = spark.createDataFrame(rows, "seq long, message string")
+    got = {r["record_key"]: r["restored"] for r in g.find_garbled(spark, [("t", d, "seq", "message", False)]).collect()}
+    assert got == {str(10_000 + i): f"{CLEAN[2]} {i}" for i in range(150)}
+
+
 def test_long_texts(spark, model):
     clean = " ".join(CLEAN[:2] * 300)
     d = spark.createDataFrame([(1, clean.encode().decode("latin-1")), (2, clean), (3, "語" * 50_000), (4, CLEAN[3] * 2000)], "seq long, message string")
