@@ -135,9 +135,32 @@ def _signs(c: str) -> frozenset[str]:
 _FREE = {"ANY", "NOQ", "NOLT"}
 HEADER_TOKENS = 60
 LONG_LINE = 2_000
+_FIELDS = re.compile(r'(?:\[[0-9]{4}-[^]]*\][ \t]+)?[ \t]*(?P<open>[{"]|<(?![0-9])|[A-Za-z_][A-Za-z0-9_]*=)')
 _CLOSING = frozenset('"\\<>{}')
 
 
+def _free(line: str, kinds: list[frozenset[str]]) -> list[bool]:
+    """Which tokens of a very long line no field but a message can take: where fields may follow the message (pairs,
+    JSON, cells, tags) those of quoted values longer than any other field, and what follows an opening tag; else all behind the header."""
+    if not (opening := _FIELDS.match(line)):
+        return [i >= HEADER_TOKENS for i in range(len(kinds))]
+    out = [False] * len(kinds)
+    begin, escaped = -1, False
+    for i, k in enumerate(kinds):
+        if escaped:
+            escaped = False
+        elif "\\" in k:
+            escaped = begin >= 0
+        elif '"' in k:
+            if begin >= 0 and i - begin > HEADER_TOKENS:
+                out[begin + 1 : i] = [True] * (i - begin - 1)
+            begin = i if begin < 0 else -1
+        elif ">" in k and begin < 0 and opening.group("open") == "<":
+            out[i + 1 :] = [True] * (len(kinds) - i - 1)
+            break
+    return out
+
+
 def lexed(line: str) -> tuple[tuple[frozenset[str], ...], list[int]]:
     """Tokens of a line as the sets of terminals they can be, and where each begins (with the line's end).
 
@@ -179,16 +202,20 @@ def lexed(line: str) -> tuple[tuple[frozenset[str], ...], list[int]]:
         kinds.append(k)
         starts.append(m.start())
         plain.append(easy)
-    # behind the header words of any kind and numbers are as plain; in very long lines all but signs that close fields are
-    for i in range(HEADER_TOKENS, len(kinds)):
-        if not plain[i]:
-            plain[i] = not _CLOSING & kinds[i] if len(kinds) > LONG_LINE else bool({"W", "N"} & kinds[i])
+    # behind the header words of any kind and numbers are as plain; in very long lines all but signs that close fields are,
+    # where text is free
+    free = _free(line, kinds) if len(kinds) > LONG_LINE else None
+    for i in range(len(kinds)):
+        if not plain[i] and i >= HEADER_TOKENS:
+            plain[i] = bool({"W", "N"} & kinds[i])
+        if free is not None and free[i]:
+            plain[i] = not _CLOSING & kinds[i]
     out: list[frozenset[str]] = []
     at: list[int] = []
     i = 0
     while i < len(kinds):
         j = i
-        if plain[i] and "SP" not in kinds[i] and (i >= HEADER_TOKENS or "W" in kinds[i]):
+        if plain[i] and "SP" not in kinds[i] and (i >= HEADER_TOKENS or "W" in kinds[i] or free is not None and free[i]):
             while j < len(kinds) and plain[j]:
                 j += 1
             while j > i and "SP" in kinds[j - 1]:

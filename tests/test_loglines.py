@@ -86,6 +86,24 @@ def test_very_long_lines():
     assert got[2:4] == ("ERROR", "x.y") or got[2] == "ERROR"
 
 
+@pytest.mark.parametrize("size", [3, 20_000])
+def test_fields_behind_long_messages(size):
+    """A long line is parsed as the short one of the same layout is."""
+    p = LineParser()
+    msg = "a.b-c, 5: x=y " * size
+    for line, want in {
+        f'ts=2026-02-20T20:24:42Z msg="{msg}" level=error logger=net.pool': ("entry", "2026-02-20T20:24:42Z", "ERROR", "net.pool"),
+        f'level=warn logger=net.pool-2 msg="{msg}" user=bob retry=3 host=a': ("entry", None, "WARN", "net.pool-2"),
+        f'{{"msg":"{msg}","lvl":"error","name":"net.pool.sock","time":"2026-02-20T20:24:42.5Z"}}': ("entry", "2026-02-20T20:24:42.5Z", "ERROR", "net.pool.sock"),
+        f'{{"msg":"say \\"{msg}\\" {msg}","lvl":"error","name":"net.pool.sock"}}': ("entry", None, "ERROR", "net.pool.sock"),
+        f'"2026-02-20 20:24:42","net.pool","ERROR","{msg}"': ("entry", "2026-02-20 20:24:42", "ERROR", "net.pool"),
+        f'<event level="error" logger="net.pool">{msg}</event>': ("entry", None, "ERROR", "net.pool"),
+    }.items():
+        assert p(line)[:4] == want, line[:60]
+    got = p('{"msg":"' + "a.b-c, 5 " * size + '","lvl":"error","name":"x.y"}')
+    assert got[2:4] == ("ERROR", "x.y")
+
+
 def test_times(spark):
     d = logs(spark, ["24.04.2026 10:52:01;n;Debug;x", "1779340653.060 f INFO c", "W/e( 1): x", "2026-02-20T20:24:42+09:00 [n] (F) b"])
     got = [str(r["entry_ts"]) for r in entries(d).orderBy("first_seq").collect()]
