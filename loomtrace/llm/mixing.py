@@ -151,8 +151,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
 
 
 def mixture_shares(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Per source of the mixture: target weight, tokens placed, share reached, and the passes used."""
+    """Per source of the mixture: target weight, size of all documents, tokens placed, share reached, and the passes used."""
     got = mixed.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("end") - F.col("begin")).alias("tokens"), (F.max("pass") + 1).alias("passes"))
     all_ = Window.partitionBy(F.lit(1))  # one row a source
-    out = sizes.join(got, F.col("source") == F.col("s"), "left").select("source", "weight", "max_repeats", "size", "enough", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("passes", F.lit(0)).alias("passes"))
+    out = sizes.join(got, F.col("source") == F.col("s"), "left").select("source", "weight", "max_repeats", "size", "total", "enough", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("passes", F.lit(0)).alias("passes"))
     return out.withColumn("share", F.col("tokens") / F.sum("tokens").over(all_))

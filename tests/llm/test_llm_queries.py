@@ -32,3 +32,9 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert set(COLUMNS) | {"p4_found", "p5_found"} <= set(entry.queries())
+
+
+def test_mixture_is_part_of_p7_found(spark, data):
+    """The blocks drawn and joined by index decide: the plan keeps them."""
+    plan = queries.p7_found(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and "tokens" in plan
