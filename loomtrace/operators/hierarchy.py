@@ -136,6 +136,23 @@ def hierarchy(links: DataFrame, node: str = "seq", parent: str = "parent_seq", w
     return known.select("node", "root", "depth", "cycle").join(paths, "node", "left").join(below, "node", "left")
 
 
+def descendants(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width: int = WIDTH) -> DataFrame:
+    """``node, descendant, distance``: all nodes below each node of a forest, those on and below cycles too (on a cycle a
+    node is its own descendant); the shortest distance counts. Ways are doubled as in ``ancestors``."""
+    known = cut(roots(links, node, parent, width))
+    up = ancestors(links, node, parent, width).where("distance > 0").select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "distance")
+    jump = cut(known.where("cycle").select(F.col("node").alias("n"), F.col("parent").alias("up")))
+    pairs = cut(jump.select(F.col("up").alias("node"), F.col("n").alias("descendant"), F.lit(1).cast("long").alias("distance")))
+    step, n, last = 1, pairs.count(), 0
+    while n > last:
+        further = pairs.join(jump, F.col("node") == F.col("n")).select(F.col("up").alias("node"), "descendant", (F.col("distance") + step).alias("distance"))
+        pairs = cut(pairs.unionByName(further).groupBy("node", "descendant").agg(F.min("distance").alias("distance")))
+        twice = jump.select(F.col("n").alias("m"), F.col("up").alias("upper"))
+        jump = cut(jump.join(twice, F.col("up") == F.col("m")).select("n", F.col("upper").alias("up")))
+        step, n, last = 2 * step, pairs.count(), n
+    return up.unionByName(pairs)
+
+
 # --- directed graphs -------------------------------------------------------------------------------------------------
 
 
@@ -310,6 +327,48 @@ def _by_colours(edges: DataFrame) -> DataFrame:
         rest = cut(rest.join(done, F.col("caller") == F.col("k"), "left_anti").join(done, F.col("callee") == F.col("k"), "left_anti"))
 
 
+def call_descendants(edges: DataFrame, caller: str = "caller", callee: str = "callee") -> DataFrame:
+    """``node, descendant, distance, path``: all nodes that each node of a directed graph reaches, itself if it is on a
+    cycle, with the fewest links to it and the smallest of the shortest paths, as an array of ids from node to descendant.
+
+    Rounds follow the longest of the shortest paths; each extends the pairs of the last one by a link. Null ends, repeated
+    edges and extra columns do not matter.
+    """
+    e = edges.where(F.col(caller).isNotNull() & F.col(callee).isNotNull()).select(F.col(caller).cast("string").alias("a"), F.col(callee).cast("string").alias("b")).distinct()
+    e = cut(e)
+    new = e.select(F.col("a").alias("node"), F.col("b").alias("descendant"), F.lit(1).cast("long").alias("distance"), F.array("a", "b").alias("path"))
+    out = new = cut(new)
+    while new.limit(1).count():
+        further = new.join(e, F.col("descendant") == F.col("a")).select("node", F.col("b").alias("descendant"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("b")).alias("path"))
+        further = further.groupBy("node", "descendant").agg(F.min("distance").alias("distance"), F.min("path").alias("path"))
+        new = cut(further.join(out.select("node", "descendant"), ["node", "descendant"], "left_anti"))
+        out = cut(out.unionByName(new))
+    return out
+
+
+def call_hierarchy(edges: DataFrame, caller: str = "caller", callee: str = "callee") -> DataFrame:
+    """``node, root, depth, path, cycle, descendants`` of every node of a directed graph and each of its roots.
+
+    Nodes that reach each other are one component (``cycle`` is true for its nodes, and for those that call themselves). A
+    root is a node that nothing outside its component leads to; of a component that is a root, its smallest node stands
+    for it. ``depth`` and ``path`` (ids joined by ``/``; ids may hold some themselves) tell the shortest way down from the
+    root; ``descendants`` counts the nodes that the node reaches.
+    """
+    pairs = cut(call_descendants(edges, caller, callee))
+    back = pairs.select(F.col("descendant").alias("node"), F.col("node").alias("descendant"))
+    both = pairs.select("node", "descendant").intersect(back)
+    component = both.groupBy("node").agg(F.min("descendant").alias("component"))
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("descendant").alias("node"))).distinct().join(component, "node", "left")
+    nodes = cut(nodes.select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("cycle")))
+    entered = pairs.join(both, ["node", "descendant"], "left_anti").select(F.col("descendant").alias("node")).distinct()
+    tops = nodes.where("node = component").join(entered, "node", "left_anti").select(F.col("node").alias("root"))
+    ways = pairs.where("node <> descendant").join(tops, F.col("node") == F.col("root")).select(F.col("descendant").alias("node"), "root", F.col("distance").alias("depth"), F.array_join("path", "/").alias("path"))
+    ways = ways.unionByName(tops.select(F.col("root").alias("node"), "root", F.lit(0).cast("long").alias("depth"), F.col("root").alias("path")))
+    below = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("descendants"))
+    out = nodes.select("node", "cycle").join(ways, "node", "left").join(below, "node", "left")
+    return out.select("node", "root", "depth", "path", "cycle", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+
+
 def found_links(events: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
     """``relation, node, root``: every record with a parent and the root of its tree or ``cycle``, and every known function
     that reaches itself over the call edges."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtrace.operators.hierarchy import found_links, hierarchy
+from loomtrace.operators.hierarchy import call_descendants, call_hierarchy, descendants, found_links, hierarchy
 from loomtrace.operators.loglines import entries
 from loomtrace.session import load
 
@@ -31,6 +32,17 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(load(spark, d, "sequence_events"))
 
 
+def p5_call_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Path, depth, root, number of descendants and cycles of every function of the call graph, a row for each of its roots."""
+    return call_hierarchy(load(spark, d, "call_edges"))
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every record and of every function, those on and below cycles too."""
+    a = descendants(load(spark, d, "sequence_events")).select(F.lit("parent").alias("relation"), *(F.col(c).cast("string").alias(c) for c in ("node", "descendant")), "distance")
+    return a.unionByName(call_descendants(load(spark, d, "call_edges")).select(F.lit("call").alias("relation"), "node", "descendant", "distance"))
+
+
 _TREE = """e AS (SELECT seq, min(parent_seq) AS parent_seq FROM sequence_events WHERE seq IS NOT NULL GROUP BY 1),
     p AS (SELECT c.seq, c.parent_seq FROM e c JOIN e u ON c.parent_seq = u.seq),
     down AS (SELECT seq, seq AS root, 0 AS depth, seq::VARCHAR AS path FROM e WHERE seq NOT IN (SELECT seq FROM p)
@@ -46,7 +58,7 @@ P5_HIERARCHY = f"""WITH RECURSIVE {_TREE}, a AS (SELECT seq, unnest(string_split
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
+    return {"p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_call_hierarchy": p5_call_hierarchy, "p5_descendants": p5_descendants}
 
 
 def oracle_sql() -> dict[str, str]:

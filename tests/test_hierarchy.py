@@ -91,3 +91,42 @@ def test_cycles_of_graphs(spark, block_edges, one_task):
 
 def test_no_edges(spark):
     assert h.cyclic_nodes(spark.createDataFrame([], "caller string, callee string")).count() == 0
+
+
+def below(edges):
+    """(node, descendant) -> fewest links, by a walk from each node."""
+    to = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            to.setdefault(a, set()).add(b)
+    out = {}
+    for s in to:
+        layer, d = to[s], 1
+        while layer:
+            out.update({(s, x): d for x in layer})
+            layer, d = {y for x in layer for y in to.get(x, ()) if (s, y) not in out}, d + 1
+    return out
+
+
+def test_descendants_below_cycles(spark):
+    rows = [(1, None), (2, 1), (3, 2), (7, 8), (8, 7), (9, 7), (11, 9), (10, 99), (5, 5), (6, 5), (12, 11), (13, 12)]
+    want = below([(p, s) for s, p in rows if p != 99])
+    assert {(r["node"], r["descendant"]): r["distance"] for r in h.descendants(spark.createDataFrame(rows * 2, LINK)).collect()} == want
+    assert h.descendants(spark.createDataFrame([], LINK)).count() == 0
+
+
+def test_call_hierarchy(spark):
+    rnd = random.Random(4)
+    edges = [(f"f{a}", f"f{b}") for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(28))] + [("r", "f1"), ("x", "y"), ("y", "x"), ("y", "z"), ("s", "s"), (None, "r"), ("r", None)]
+    reach = below(edges)
+    d = spark.createDataFrame(edges * 2, "caller string, callee string")
+    nodes = {x for e in edges if None not in e for x in e}
+    together = {n: {m for m in nodes if (n, m) in reach and (m, n) in reach} | {n} for n in nodes}
+    tops = {n for n in nodes if n == min(together[n]) and all(m in together[n] for m in nodes if (m, n) in reach)}
+    want = {(n, t): (0 if n == t else reach[t, n], (n, n) in reach, sum(a == n for a, _ in reach)) for n in nodes for t in tops if n == t or (t, n) in reach}
+    got = h.call_hierarchy(d).collect()
+    assert {(r["node"], r["root"]): (r["depth"], r["cycle"], r["descendants"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        way = r["path"].split("/")
+        assert (way[0], way[-1], len(way)) == (r["root"], r["node"], r["depth"] + 1) and all(e in set(edges) for e in zip(way, way[1:]))
+    assert h.call_hierarchy(d.where("false")).count() == 0
