@@ -90,7 +90,7 @@ def unescaped(text: str) -> str:
 def stretches(text: str) -> list[tuple[str, str]]:
     """(script, text) of what may be running text: one sentence or line and one script each, long enough to count.
 
-    Lines too short to count by themselves go on from the line before. Scripts: latin, ru, ko, cjk.
+    Sentences too short to count by themselves are taken together with those beside them in their script. Lines too short to count by themselves go on from the line before. Scripts: latin, ru, ko, cjk.
     """
     text = _TAG.sub("\n", text)
     lines: list[str] = []
@@ -119,15 +119,48 @@ def stretches(text: str) -> list[tuple[str, str]]:
                 script, end = k, m.end()
             if script is not None:
                 runs.append((script, sentence[begin:]))
-            out.extend((k, t.strip()) for k, t in runs if _long(k, t))
+            out.extend((k, t.strip()) for k, t in runs)
+    return _joined(out)
+
+
+def _joined(runs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Short stretches of a script on end as one; what is short still goes to the one of its script before it, else after it."""
+    out: list[tuple[str, str]] = []
+    for script in dict.fromkeys(k for k, _ in runs):
+        grouped: list[list[str]] = []
+        short = False
+        for t in (t for k, t in runs if k == script):
+            if (now := not _long(script, t)) and short:
+                grouped[-1].append(t)
+            else:
+                grouped.append([t])
+            short = now
+        whole: list[str] = []
+        first = ""
+        for t in map(" ".join, grouped):
+            if _long(script, t):
+                whole.append(f"{first} {t}" if first else t)
+                first = ""
+            elif _dense(script, t):
+                continue
+            elif whole:
+                whole[-1] += " " + t
+            else:
+                first = t
+        out.extend((script, t) for t in whole if _long(script, t))
     return out
 
 
+def _dense(script: str, text: str) -> bool:
+    """Signs of code as thick as words."""
+    return script == "latin" and len(_SIGNS.findall(text)) >= max(3, len(text.split()) // 2)
+
+
 def _long(script: str, text: str) -> bool:
     if script == "cjk":
         return len(_HAN_KANA.findall(text)) >= MIN_CHARS
     if script == "latin":
-        if len(_SIGNS.findall(text)) >= max(3, len(text.split()) // 2):  # signs of code as thick as words
+        if _dense(script, text):
             return False
         return sum(1 for w in text.split() if _LATIN_WORD.match(w.lstrip("(\"'“«¿¡"))) >= MIN_WORDS
     return sum(1 for w in text.split() if _OTHER_WORD.search(w)) >= MIN_WORDS

@@ -64,3 +64,10 @@ def test_shares(found):
 def test_no_files(spark):
     docs = spark.createDataFrame([("en", DOCS["en"])], "lang string, text string")
     assert c.natural_language(spark.createDataFrame([], "path string, content string"), docs).count() == 0
+
+
+def test_short_sentences():
+    assert c.stretches("Lock held. Do not sleep.") == [("latin", "Lock held. Do not sleep.")]
+    assert [k for k, _ in c.stretches("写入失败了。请稍后重试。")] == ["cjk"]
+    assert c.stretches("Done. The queue closes the channel. Wait.") == [("latin", "Done. The queue closes the channel. Wait.")]
+    assert c.stretches("Do not. Sleep.") == [] and c.stretches("x = y[2]; z += 1. Lock held.") == []
