@@ -18,6 +18,7 @@ FUNC = r"[A-Za-z_~][\w:~<>]*"
 HEAD = r"^\[(\d+)\] (TRACE|DEBUG|INFO|WARN|ERROR|FATAL|UNKNOWN) ?"
 TRAILER = rf"(?U)\s\(({FILE}):(\d+) ({FUNC})\)\s*$"
 PARTIAL = rf"(?U)\s\({FILE}(?::\d*(?: [\w:~<>]*)?)?$"
+PIECE = r"(?U)^[^\s()]*(?: [\w:~<>]*)?$"
 PURE_TRAILER = rf"(?U)^\s*\(({FILE}):(\d+) ({FUNC})\)\s*$"
 TRACE = r"(?U)(?d)^\*{5,}(.*?)\s*\[([A-Za-z_]\w*)\((\d+)\)\]\s*$"
 INTERRUPT = r"(?U)(?d)(?<=[\w)\]])\*{5,}.*?\[[A-Za-z_]\w*\(\d+\)\]"
@@ -113,6 +114,12 @@ class Grammar:
     def has_partial_trailer(self, text: Column) -> Column:
         return text.rlike(PARTIAL)
 
+    def keeps_torn(self, body: Column) -> Column:
+        """Whether a line joined to a record whose place is torn may leave it torn: it holds no more than a piece of a
+        place, or another torn one at its end."""
+        b = strip(body)
+        return b.rlike(PIECE) | F.concat(F.lit(" "), b).rlike(PARTIAL)
+
     def is_pure_trailer(self, body: Column) -> Column:
         return body.rlike(PURE_TRAILER)
 

@@ -1,18 +1,21 @@
 """Problem 5: parent–child links to full hierarchies, with cycles reported.
 
-Forests (every node has one parent at most): nodes are grouped into blocks of neighbouring ids. Each block contracts its
-chains by pointer doubling to *fragment exits*, the first ancestor outside the block. The exits that exist form a
-smaller forest, the quotient, which is solved the same way over wider blocks, until it fits one task of a checked size.
-Expanding joins every node to its exit's solution. A chain that never leaves its block is a local cycle; one that closes
-over several blocks shows up as a cycle of a quotient.
+Forests (every node has one parent at most): nodes are sorted by id over range partitions and cut into fragments of
+neighbours, of a bounded number of nodes each. Every fragment contracts its chains by pointer doubling to *exits*, the first
+ancestor outside. The exits that exist form a smaller forest, the quotient, which is solved the same way; one that hardly
+shrank (links without any locality) is solved by pointer jumping over joins instead. Expanding joins every node to its
+exit's solution: root and depth, the way from the root, and, from below, what hangs on the nodes that others exit to. A
+chain that closes within a fragment is a local cycle; one that closes over several shows up as a cycle of a quotient.
 
 Directed graphs (calls): blocks merge their local strongly connected components and drop nodes that no path from
-outside to outside crosses; what is left is a smaller graph, solved over fewer blocks. If it does not shrink to a size
-that one task may hold, components are found by rounds of colour propagation instead.
+outside to outside crosses; what is left is a smaller graph, dealt to other blocks, until it fits one block. If it does
+not shrink, components are found by rounds of colour propagation instead. No block holds more than its share of the nodes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,73 +23,184 @@ from pyspark.sql import functions as F
 
 from loomtrace.session import cut
 
-WIDTH = 1 << 15
-ONE_TASK = 200_000
-ONE_TASK_EDGES = 400_000
+WIDTH = 1 << 17
+PATH_CHARS = 1 << 25
 
-_SOLVED = "id long, root long, depth long, exit long, exit_dist long, bad boolean"
+_LOCAL = "id long, parent long, x long, frag long, up long, root long, depth long, exit long, exit_dist long, ring long, looped boolean, way string"
 
 
-def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block: every node's last local ancestor by pointer doubling, with distance, and the parent that leaves the block."""
-    pdf = pdf.sort_values("id", kind="stable")
+def _long(values: np.ndarray, known: np.ndarray) -> pd.Series:
+    return pd.Series(pd.array(np.where(known, values, 0), "Int64")).where(pd.Series(known), pd.NA)
+
+
+def _ways(up: np.ndarray, inside: np.ndarray, own: list[str], ok: np.ndarray) -> Iterator[tuple[int, list[str | None]]]:
+    """The ways from each node's last local ancestor down to it, as (first node, ways), in pieces of bounded length."""
+    out: list[str | None] = []
+    begin = size = 0
+    for v in range(len(up)):
+        parts = []
+        u = v
+        while ok[v]:
+            parts.append(own[u])
+            if not inside[u]:
+                break
+            u = up[u]
+        out.append("/".join(reversed(parts)) if ok[v] else None)
+        size += len(out[-1] or "")
+        if size > PATH_CHARS:
+            yield begin, out
+            begin, out, size = v + 1, [], 0
+    yield begin, out
+
+
+def _contract(pdf: pd.DataFrame, ways: bool) -> Iterator[pd.DataFrame]:
+    """One fragment, sorted by id: every node's last local ancestor by pointer doubling, with distance, the parent that
+    leaves the fragment, and the smallest node of the local cycle that it leads to."""
     ids = pdf["id"].to_numpy(np.int64)
     n = len(ids)
-    has = pdf["parent"].notna().to_numpy()
-    parent = pdf["parent"].fillna(0).to_numpy(np.int64)
-    bad = pdf["bad"].to_numpy(bool)
+    has, parent = pdf["has"].to_numpy(bool), pdf["parent"].to_numpy(np.int64)
+    held, ring = pdf["held"].to_numpy(bool), pdf["ring"].to_numpy(np.int64)  # leads to a cycle found before
     at = np.minimum(np.searchsorted(ids, parent), n - 1)
-    inside = has & (ids[at] == parent) & ~bad
-    up = np.where(inside, at, np.arange(n))
+    inside = has & (ids[at] == parent) & ~held
+    near = np.where(inside, at, np.arange(n))
+    up = near
     w = pdf["w"].to_numpy(np.int64)
     dist = np.where(inside, w, 0)
+    low = ids
     for _ in range(max(1, int(n).bit_length()) + 1):
         dist = dist + dist[up]
+        low = np.minimum(low, low[up])
         up = up[up]
     loops = inside[up]  # still on the way after more than n steps
-    bad = loops | bad[up]
+    looped = np.zeros(n, bool)
+    looped[up[loops]] = True
+    bad = loops | held[up]
     leaves = has[up] & ~bad
-    return pd.DataFrame(
+    out = pd.DataFrame(
         {
-            "id": ids, "root": pdf["root"].to_numpy(np.int64)[up], "depth": np.where(bad, 0, dist) + pdf["base"].to_numpy(np.int64)[up],
-            "exit": pd.array(np.where(leaves, parent[up], 0), "Int64"), "exit_dist": np.where(bad, 0, dist) + w[up], "bad": bad,
+            "id": ids, "parent": _long(parent, has), "x": pdf["x"].to_numpy(np.int64), "frag": ids[0], "up": _long(ids[near], inside),
+            "root": pdf["root"].to_numpy(np.int64)[up], "depth": np.where(bad, 0, dist) + pdf["base"].to_numpy(np.int64)[up], "exit": _long(parent[up], leaves),
+            "exit_dist": np.where(bad, 0, dist) + w[up], "ring": _long(np.where(loops, low[up], ring[up]), bad), "looped": looped, "way": None,
         }
-    ).assign(exit=lambda d: d["exit"].where(pd.Series(leaves), pd.NA))
-
-
-def _solve(forest: DataFrame, width: int, one_task: int, rows: int | None) -> DataFrame:
-    """``id, root, depth, bad`` of a forest with weights."""
-    alone = rows is not None and rows <= one_task
-    block = F.lit(0).cast("long") if alone else F.floor(F.col("id") / width).cast("long")
-    local = cut(forest.groupBy(block.alias("block")).applyInPandas(_contract, _SOLVED))
-    if alone:  # an exit that is still open leads to a node that does not exist
-        return local.select("id", "root", "depth", "bad")
-    exits = local.where("exit is not null").select(F.col("exit").alias("t")).distinct()
-    quotient = local.join(exits, F.col("id") == F.col("t"), "left_semi").select(
-        "id", F.col("exit").alias("parent"), F.col("exit_dist").alias("w"), "root", F.col("depth").alias("base"), "bad"
+    )
+    if not ways:
+        yield out
+        return
+    for begin, texts in _ways(near, inside, list(pdf["way"]), ~bad):
+        yield out.iloc[begin : begin + len(texts)].assign(way=texts)
+
+
+def _fragments(width: int, ways: bool):
+    """A sorted partition in fragments of ``width`` nodes, each contracted."""
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = 0
+        for pdf in batches:
+            while len(pdf):
+                part, pdf = pdf.iloc[: width - n], pdf.iloc[width - n :]
+                held.append(part)
+                n += len(part)
+                if n == width:
+                    yield from _contract(pd.concat(held, ignore_index=True), ways)
+                    held, n = [], 0
+        if n:
+            yield from _contract(pd.concat(held, ignore_index=True), ways)
+
+    return over
+
+
+def _below(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One fragment: of each node, what it and its local descendants weigh, and whether a cycle's node is among them."""
+    pdf = pdf.sort_values("id", kind="stable")
+    ids = pdf["id"].to_numpy(np.int64)
+    n = len(ids)
+    alive = pdf["inner"].to_numpy(bool)
+    jump = np.where(alive, np.searchsorted(ids, pdf["up"].to_numpy(np.int64)), 0)
+    sums = np.stack([pdf["weight"].to_numpy(np.int64), pdf["ringed"].to_numpy(np.int64)])
+    for _ in range(max(1, n.bit_length())):  # sums over 1, 2, 4 … generations
+        if not alive.any():
+            break
+        more = np.stack([np.bincount(jump[alive], weights=s[alive], minlength=n) for s in sums.astype(float)])
+        sums = sums + np.minimum(more, 2.0**62).astype(np.int64)
+        sums[1] = np.minimum(sums[1], 1)
+        alive = alive & alive[jump]
+        jump = np.where(alive, jump[jump], 0)
+    return pd.DataFrame({"id": ids, "below": sums[0], "ringed": sums[1] > 0})
+
+
+def _jumped(forest: DataFrame, n: int) -> DataFrame:
+    """``id, root, depth, ring, looped, below, way`` of a forest by pointer jumping: rounds of self-joins, each of which doubles
+    the reach of those that have not arrived. Who has not arrived after more than n steps leads to a cycle."""
+    c = F.col
+    state = forest.select("id", F.when(c("ring").isNull(), c("parent")).alias("at"), "w", "root", c("base").alias("depth"), "ring", c("x").alias("below"), "way", c("id").alias("low"))
+    there = state.select(c("id").alias("k"))  # a parent that the table lacks is none
+    state = cut(state.join(there, c("at") == c("k"), "left").withColumn("at", c("k")).drop("k"))
+    steps = 1
+    while steps <= n and state.where("at is not null").limit(1).count():
+        known = state.select(c("id").alias("k"), c("at").alias("k_at"), c("w").alias("k_w"), c("root").alias("k_root"), c("depth").alias("k_depth"), c("ring").alias("k_ring"), c("way").alias("k_way"), c("low").alias("k_low"))
+        more = state.where("at is not null").groupBy(c("at").alias("m")).agg(F.sum("below").alias("more"))
+        both = state.join(known, c("at") == c("k"), "left").join(more, c("id") == c("m"), "left")
+        there, on = c("k").isNotNull(), c("k_at").isNotNull()  # has not arrived; neither has the one it looks to
+        state = cut(
+            both.select(
+                "id", c("k_at").alias("at"), (c("w") + F.when(on, c("k_w")).otherwise(0)).alias("w"), F.when(there & ~on, c("k_root")).otherwise(c("root")).alias("root"),
+                F.when(there & ~on, c("w") + c("k_depth")).otherwise(c("depth")).alias("depth"), F.when(there & ~on, c("k_ring")).otherwise(c("ring")).alias("ring"),
+                F.least(c("below") + F.coalesce("more", F.lit(0)), F.lit(1 << 61)).alias("below"), F.when(there, F.concat_ws("/", "k_way", "way")).otherwise(c("way")).alias("way"), F.least("low", "k_low").alias("low"),
+            )
+        )
+        steps *= 2
+    ends = state.where("at is not null").select(c("at").alias("e")).distinct()
+    ends = ends.join(state.select(c("id").alias("e_id"), c("low").alias("e_low")), c("e") == c("e_id"))
+    out = state.join(ends.select("e", "e_low"), c("at") == c("e"), "left").join(ends.select(c("e").alias("on_ring")), c("id") == c("on_ring"), "left")
+    return out.select("id", "root", "depth", F.coalesce("ring", "e_low").alias("ring"), c("on_ring").isNotNull().alias("looped"), "below", "way")
+
+
+def _solve(forest: DataFrame, width: int, sums: bool, ways: bool) -> DataFrame:
+    """``id, parent, root, depth, ring, looped, below, way`` of a forest with weights: ``ring`` names the cycle that a node leads
+    to, ``looped`` says whether it lies on it, ``below`` is the weight of the node and all below it (no number on a cycle)."""
+    c = F.col
+    zero = F.lit(0).cast("long")
+    # pandas would make numbers of missing ones: whether there is a parent or a cycle are columns of their own
+    rows = forest.select("id", F.coalesce("parent", zero).alias("parent"), c("parent").isNotNull().alias("has"), "w", "root", "base", F.coalesce("ring", zero).alias("ring"), c("ring").isNotNull().alias("held"), "x", *(["way"] if ways else []))
+    # sorted ranges: as many partitions as Spark is set to use, whatever they hold, as fragments are cut within them
+    ranged = rows.repartitionByRange("id").sortWithinPartitions("id")
+    local = cut(ranged.mapInPandas(_fragments(width, ways), _LOCAL))
+    entries = local.where("exit is not null").groupBy(c("exit").alias("t")).agg(F.sum("x").alias("n"))
+    quotient = cut(
+        local.join(entries, c("id") == c("t")).select("id", c("exit").alias("parent"), c("exit_dist").alias("w"), "root", c("depth").alias("base"), "ring", c("n").alias("x"), "way")
     )
-    quotient = cut(quotient)
     n = quotient.count()
     if n == 0:
-        return local.select("id", "root", "depth", "bad")
-    # narrower blocks pay while chains stay short; a quotient that hardly shrinks is solved over much wider ones
-    solved = _solve(quotient, width * (16 if rows is None or n < rows / 2 else 256), one_task, n)
-    solved = solved.select(F.col("id").alias("t"), F.col("root").alias("far_root"), F.col("depth").alias("far_depth"), F.col("bad").alias("far_bad"))
-    out = local.join(solved, F.col("exit") == F.col("t"), "left")
-    far = F.col("t").isNotNull()
-    return out.select(
-        "id", F.when(far, F.col("far_root")).otherwise(F.col("root")).alias("root"),
-        F.when(far, F.col("exit_dist") + F.col("far_depth")).otherwise(F.col("depth")).alias("depth"),
-        (F.col("bad") | F.coalesce("far_bad", F.lit(False))).alias("bad"),
+        solved = quotient.select("id", "root", c("base").alias("depth"), "ring", F.lit(False).alias("looped"), c("x").alias("below"), "way")
+    elif 2 * n <= local.count():
+        solved = _solve(quotient, width, sums, ways)
+    else:
+        solved = _jumped(quotient, n)
+    far = solved.select(c("id").alias("t"), c("root").alias("far_root"), c("depth").alias("far_depth"), c("ring").alias("far_ring"), c("way").alias("far_way"))
+    out = local.join(far, c("exit") == c("t"), "left")
+    there = c("t").isNotNull()
+    out = out.select(
+        "id", "parent", "x", "frag", "up", F.when(there, c("far_root")).otherwise(c("root")).alias("root"), F.when(there, c("exit_dist") + c("far_depth")).otherwise(c("depth")).alias("depth"),
+        F.coalesce("ring", "far_ring").alias("ring"), "looped", F.when(there & ways, F.concat_ws("/", "far_way", "way")).otherwise(c("way")).alias("way"),
     )
+    if not sums:
+        return out.select("id", "parent", "root", "depth", "ring", "looped", F.lit(None).cast("long").alias("below"), "way")
+    hung = solved.select(c("id").alias("t"), "below", c("looped").alias("on"))
+    weighed = local.join(hung, c("id") == c("t"), "left").select("id", "frag", F.coalesce("up", "id").alias("up"), c("up").isNotNull().alias("inner"), (c("x") + F.coalesce("below", F.lit(0))).alias("weight"), F.coalesce("on", F.lit(False)).cast("long").alias("ringed"))
+    below = weighed.groupBy("frag").applyInPandas(_below, "id long, below long, ringed boolean").withColumnRenamed("id", "b")
+    out = out.join(below, c("id") == c("b"))
+    return out.select("id", "parent", "root", "depth", "ring", (c("looped") | c("ringed")).alias("looped"), "below", "way")
 
 
-def _links(links: DataFrame, node: str, parent: str) -> DataFrame:
+def _forest(links: DataFrame, node: str, parent: str) -> DataFrame:
     """One row per node; where copies disagree about the parent, the smallest parent that is given counts."""
-    return links.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.min(F.col(parent).cast("long")).alias("parent"))
+    rows = links.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.min(F.col(parent).cast("long")).alias("parent"))
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    return rows.select("id", "parent", one.alias("w"), F.col("id").alias("root"), F.lit(0).cast("long").alias("base"), none.alias("ring"), one.alias("x"), F.col("id").cast("string").alias("way"))
 
 
-def roots(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width: int = WIDTH, one_task: int = ONE_TASK) -> DataFrame:
+def roots(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width: int = WIDTH) -> DataFrame:
     """``node, parent, root, depth, cycle`` of every node of a forest of integer ids.
 
     ``root`` is the last node present on the way up (the node itself if it has no parent, or one that the table lacks) and
@@ -94,14 +208,9 @@ def roots(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width
     rows count once; of several parents of one node the smallest counts. A node that is its own parent is a cycle. An
     empty table gives an empty result. ``depth`` counts the links up to the root.
     """
-    rows = _links(links, node, parent)
-    forest = rows.select("id", "parent", F.lit(1).cast("long").alias("w"), F.col("id").alias("root"), F.lit(0).cast("long").alias("base"), F.lit(False).alias("bad"))
-    forest = cut(forest)
-    solved = _solve(forest, width, one_task, None)
-    return forest.select("id", "parent").join(solved, "id").select(
-        F.col("id").alias("node"), "parent", F.when(~F.col("bad"), F.col("root")).alias("root"),
-        F.when(~F.col("bad"), F.col("depth")).alias("depth"), F.col("bad").alias("cycle"),
-    )
+    ok = F.col("ring").isNull()
+    solved = _solve(_forest(links, node, parent), width, False, False)
+    return solved.select(F.col("id").alias("node"), "parent", F.when(ok, F.col("root")).alias("root"), F.when(ok, F.col("depth")).alias("depth"), (~ok).alias("cycle"))
 
 
 def ancestors(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width: int = WIDTH) -> DataFrame:
@@ -125,15 +234,20 @@ def ancestors(links: DataFrame, node: str = "seq", parent: str = "parent_seq", w
     return out
 
 
-def hierarchy(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width: int = WIDTH) -> DataFrame:
+def hierarchy(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width: int = WIDTH, paths: bool = True) -> DataFrame:
     """``node, root, depth, cycle, path, descendants``: the path from root to node as ids joined by ``/``, and how many
-    nodes lie below. Nodes on a way that never ends have neither path nor descendants (null)."""
-    known = roots(links, node, parent, width)
-    pairs = ancestors(links, node, parent, width)
-    paths = pairs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("way"))
-    paths = paths.select("node", F.array_join(F.transform("way", lambda x: x["ancestor"].cast("string")), "/").alias("path"))
-    below = pairs.groupBy(F.col("ancestor").alias("node")).agg((F.count(F.lit(1)) - 1).alias("descendants"))
-    return known.select("node", "root", "depth", "cycle").join(paths, "node", "left").join(below, "node", "left")
+    nodes lie below. Nodes on a way that never ends have no root, depth or path (null), but descendants as well; those of a
+    node on a cycle are all that lead to it, itself among them. Paths are as long as trees are deep: ``paths`` false leaves
+    them null. Otherwise as ``roots``."""
+    c = F.col
+    solved = cut(_solve(_forest(links, node, parent), width, True, paths))
+    rings = solved.where("ring is not null").groupBy(c("ring").alias("r")).agg(F.count(F.lit(1)).alias("all_below"))
+    ok = c("ring").isNull()
+    out = solved.join(rings, c("ring") == c("r"), "left")
+    return out.select(
+        c("id").alias("node"), F.when(ok, c("root")).alias("root"), F.when(ok, c("depth")).alias("depth"), (~ok).alias("cycle"), F.when(ok & paths, c("way")).alias("path"),
+        F.when(c("looped"), c("all_below")).otherwise(c("below") - 1).alias("descendants"),
+    )
 
 
 def descendants(links: DataFrame, node: str = "seq", parent: str = "parent_seq", width: int = WIDTH) -> DataFrame:
@@ -221,8 +335,9 @@ _ALIVE = "node string, rep string, cyclic boolean, alive boolean"
 
 def _shrink(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block: its nodes with their component's representative, whether that is a cycle, and whether a path from outside to outside crosses it."""
-    inner = pdf[pdf["head_in"] & pdf["tail_in"]]
-    names = pd.Index(pd.concat([pdf.loc[pdf["head_in"], "caller"], pdf.loc[pdf["tail_in"], "callee"]]).unique())
+    inner = pdf[pdf["callee"].notna()]
+    flags = pdf[pdf["callee"].isna()]
+    names = pd.Index(pd.concat([inner["caller"], inner["callee"], flags["caller"]]).unique())
     n = len(names)
     h, t = names.get_indexer(inner["caller"]), names.get_indexer(inner["callee"])
     comp = _components(n, h, t)
@@ -230,61 +345,63 @@ def _shrink(pdf: pd.DataFrame) -> pd.DataFrame:
     cyclic = size[comp] > 1
     cyclic[h[h == t]] = True
     entry, leave = np.zeros(n, bool), np.zeros(n, bool)
-    entry[names.get_indexer(pdf.loc[~pdf["head_in"], "callee"])] = True
-    leave[names.get_indexer(pdf.loc[~pdf["tail_in"], "caller"])] = True
+    entry[names.get_indexer(flags.loc[flags["entered"].astype(bool), "caller"])] = True
+    leave[names.get_indexer(flags.loc[flags["left"].astype(bool), "caller"])] = True
     alive = _reach(n, h, t, entry) & _reach(n, t, h, leave)
     rep = pd.Series(names).groupby(comp).transform("min")
     return pd.DataFrame({"node": names, "rep": rep.to_numpy(), "cyclic": cyclic, "alive": alive})
 
 
-def _in_blocks(edges: DataFrame, blocks: int) -> DataFrame:
-    """Every edge once for each block that one of its ends lies in."""
-    of = lambda c: F.pmod(F.xxhash64(F.regexp_extract(c, r"^(.*?)[^/]*$", 1)) if blocks > 1 else F.lit(0).cast("long"), F.lit(blocks))
-    e = edges.withColumn("hb", of(F.col("caller"))).withColumn("tb", of(F.col("callee")))
-    e = e.withColumn("block", F.explode(F.array_distinct(F.array("hb", "tb"))))
-    return e.select("block", "caller", "callee", (F.col("hb") == F.col("block")).alias("head_in"), (F.col("tb") == F.col("block")).alias("tail_in"))
+def _in_blocks(edges: DataFrame, blocks: int, turn: int) -> DataFrame:
+    """The edges within each block, and of each node whether edges enter it from other blocks or leave it for them.
 
-
-def cyclic_nodes(edges: DataFrame, caller: str = "caller", callee: str = "callee", block_edges: int = 50_000, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    In the first turn a block holds whole files (what stands before ``::``), later it is drawn anew by node; edges between
+    blocks count as marks of their ends only, so that a node that everyone calls is no more than a row of its block.
+    """
+    c = F.col
+    what = (lambda x: F.regexp_extract(x, r"^(.*?)(?:::[^/]*)?$", 1)) if turn == 0 else (lambda x: x)
+    of = lambda x: F.pmod(F.xxhash64(what(x), F.lit(turn)), F.lit(blocks)) if blocks > 1 else F.lit(0).cast("long")
+    e = edges.withColumn("hb", of(c("caller"))).withColumn("tb", of(c("callee")))
+    null = F.lit(None).cast("string")
+    inner = e.where("hb = tb").select(c("hb").alias("block"), "caller", "callee", F.lit(False).alias("entered"), F.lit(False).alias("left"))
+    ends = F.explode(F.array(F.struct(c("hb").alias("block"), c("caller").alias("node"), F.lit(False).alias("entered")), F.struct(c("tb").alias("block"), c("callee").alias("node"), F.lit(True).alias("entered"))))
+    marks = e.where("hb <> tb").select(ends.alias("x")).groupBy("x.block", "x.node").agg(F.max("x.entered").alias("entered"), F.max(~c("x.entered")).alias("left"))
+    return inner.unionByName(marks.select("block", c("node").alias("caller"), null.alias("callee"), "entered", "left"))
+
+
+def cyclic_nodes(edges: DataFrame, caller: str = "caller", callee: str = "callee", block_edges: int = 50_000) -> DataFrame:
     """``node``: every node of a directed graph that reaches itself, directly or by others; each once.
 
-    Null ends, repeated edges and extra columns do not matter; an empty table gives no rows. ``one_task`` is the largest
-    number of edges that one task may hold at the end; a larger rest goes through rounds of colour propagation.
+    Null ends, repeated edges and extra columns do not matter; an empty table gives no rows. Blocks are so many that each
+    holds about ``block_edges`` edges; a file with more than half of that is dealt by node from the start.
     """
-    rest = cut(edges.where(F.col(caller).isNotNull() & F.col(callee).isNotNull()).select(F.col(caller).cast("string").alias("caller"), F.col(callee).cast("string").alias("callee")).distinct())
+    c = F.col
+    rest = cut(edges.where(c(caller).isNotNull() & c(callee).isNotNull()).select(c(caller).cast("string").alias("caller"), c(callee).cast("string").alias("callee")).distinct())
     n = rest.count()
-    found: DataFrame | None = None
-    names: DataFrame | None = None  # node -> representative, for nodes merged so far
-    last = n
-    blocks = 1 if n <= block_edges else -(-n // block_edges)
+    found = rest.where("caller = callee").select(c("caller").alias("node"))
+    turn = 0 if n <= block_edges or not _big_file(rest, block_edges // 2) else 1
     while n:
-        if blocks == 1 and n > one_task:
-            cyc = _by_colours(rest)
-            hit = cyc if names is None else names.join(cyc, F.col("rep") == F.col("node_"), "left_semi").select("node").unionByName(cyc.select(F.col("node_").alias("node")))
-            hit = hit.select(F.col(hit.columns[0]).alias("node"))
-            found = hit if found is None else found.unionByName(hit)
-            break
-        state = cut(_in_blocks(rest, blocks).groupBy("block").applyInPandas(_shrink, _ALIVE))
-        hit = state.where("cyclic").select("node")
-        if names is not None:  # what had been merged into the node before is on a cycle already
-            hit = hit.unionByName(names.join(state.where("cyclic").select(F.col("node").alias("r")), F.col("rep") == F.col("r"), "left_semi").select("node"))
-        found = hit if found is None else found.unionByName(hit)
+        blocks = 1 if n <= block_edges else -(-n // block_edges)
+        state = cut(_in_blocks(rest, blocks, turn).groupBy("block").applyInPandas(_shrink, _ALIVE))
+        found = found.unionByName(state.where("cyclic").select("node"))  # what is merged here is found here
         if blocks == 1:
             break
         alive = state.where("alive").select("node", "rep")
-        merged = alive.where("node <> rep")
-        names = merged if names is None else names.unionByName(merged)
-        a, b = alive.select(F.col("node").alias("c1"), F.col("rep").alias("r1")), alive.select(F.col("node").alias("c2"), F.col("rep").alias("r2"))
-        rest = cut(rest.join(a, F.col("caller") == F.col("c1")).join(b, F.col("callee") == F.col("c2")).where("r1 <> r2").select(F.col("r1").alias("caller"), F.col("r2").alias("callee")).distinct())
-        n = rest.count()
-        # fewer blocks each time; if hardly anything went, the whole rest is taken at once where it fits
-        blocks = 1 if n <= one_task or n > 0.9 * last else max(1, min(blocks // 4, -(-n // block_edges)))
-        last = n
-    if found is None:
-        return rest.select(F.col("caller").alias("node")).limit(0)
+        a, b = alive.select(c("node").alias("c1"), c("rep").alias("r1")), alive.select(c("node").alias("c2"), c("rep").alias("r2"))
+        rest = cut(rest.join(a, c("caller") == c("c1")).join(b, c("callee") == c("c2")).where("r1 <> r2").select(c("r1").alias("caller"), c("r2").alias("callee")).distinct())
+        last, n = n, rest.count()
+        turn += 1
+        if n > block_edges and n > 0.9 * last and turn > 1:  # blocks hardly cut any more
+            found = found.unionByName(_by_colours(rest).select(c("node_").alias("node")))
+            break
     return found.distinct()
 
 
+def _big_file(edges: DataFrame, most: int) -> bool:
+    per = edges.groupBy(F.regexp_extract("caller", r"^(.*?)(?:::[^/]*)?$", 1)).count()
+    return per.where(F.col("count") > most).limit(1).count() > 0
+
+
 def _by_colours(edges: DataFrame) -> DataFrame:
     """``node_``: nodes on cycles, by trimming and colour propagation: colours are the largest name that reaches a node; a
     colour's own node, walked back to within its colour, gives one component a round and colour."""
@@ -336,14 +453,15 @@ def call_descendants(edges: DataFrame, caller: str = "caller", callee: str = "ca
     """
     e = edges.where(F.col(caller).isNotNull() & F.col(callee).isNotNull()).select(F.col(caller).cast("string").alias("a"), F.col(callee).cast("string").alias("b")).distinct()
     e = cut(e)
-    new = e.select(F.col("a").alias("node"), F.col("b").alias("descendant"), F.lit(1).cast("long").alias("distance"), F.array("a", "b").alias("path"))
-    out = new = cut(new)
-    while new.limit(1).count():
+    new = cut(e.select(F.col("a").alias("node"), F.col("b").alias("descendant"), F.lit(1).cast("long").alias("distance"), F.array("a", "b").alias("path")))
+    out = new
+    while True:
         further = new.join(e, F.col("descendant") == F.col("a")).select("node", F.col("b").alias("descendant"), (F.col("distance") + 1).alias("distance"), F.concat("path", F.array("b")).alias("path"))
         further = further.groupBy("node", "descendant").agg(F.min("distance").alias("distance"), F.min("path").alias("path"))
         new = cut(further.join(out.select("node", "descendant"), ["node", "descendant"], "left_anti"))
-        out = cut(out.unionByName(new))
-    return out
+        if not new.limit(1).count():
+            return out
+        out = out.unionByName(new)
 
 
 def call_hierarchy(edges: DataFrame, caller: str = "caller", callee: str = "callee") -> DataFrame:

@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from loomtrace.functions.paths import ModuleRules, basename, short_name
 from loomtrace.operators.graph import MAX_HOPS, SYNC_MS, caller_reach, first_functions
 from loomtrace.operators.hierarchy import roots
-from loomtrace.operators.ordered import WIDTH, last_known, running
+from loomtrace.operators.ordered import WIDTH, last_known, offsets, running
 from loomtrace.session import cut
 
 TIMELESS = -(1 << 62)
 
 
+def numbered(events: DataFrame) -> DataFrame:
+    """Adds ``id``, a number of each record over all logs in the order of (log_id, seq), and ``up``, that of its parent.
+
+    Each log's numbers begin behind those of the logs before it, so ``seq`` may start anew in each. ``seq`` is not negative.
+    """
+    c = F.col
+    per = events.groupBy("log_id").agg((F.greatest(F.max("seq"), F.max("parent_seq") if "parent_seq" in events.columns else F.lit(0)) + 1).alias("_n"))
+    first = offsets(per, ["log_id"], "_n", "_first").select(c("log_id").alias("_l"), "_first")
+    out = events.join(first, c("log_id").eqNullSafe(c("_l"))).withColumn("id", c("_first") + c("seq"))
+    if "parent_seq" in events.columns:
+        out = out.withColumn("up", c("_first") + c("parent_seq"))
+    return out.drop("_l", "_first")
+
+
 def resolve_functions(entries: DataFrame, functions: DataFrame) -> DataFrame:
     """Adds ``function_id`` and ``function_module``: by file and name, else by name only; of several candidates those whose
     lines hold the record's line, if any; then the first. Short names of class members count as well.
@@ -118,7 +132,7 @@ def link(events: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, sync_ms:
 
     A record with a caller hangs below it. One without takes over parent and depth of the record before it of the same
     function (or, without a known function, of the same file and function name) if that lies within the window for
-    synchronous calls. ``events``: ``log_id, seq`` (unique), ``ts_ms, function_id, file_name, function_name``.
+    synchronous calls. ``events``: ``log_id, seq`` (unique together), ``ts_ms, function_id, file_name, function_name``.
     """
     c = F.col
     reach = caller_reach(edges, max_hops) if reach is None else reach
@@ -131,9 +145,10 @@ def link(events: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, sync_ms:
     known = cut(known.withColumn("follows", follows))
     # a run of siblings takes everything from the record that began it
     known = last_known(known, ["log_id", "key"], "seq", F.when(~c("follows"), F.struct("seq", "caller_seq")), "begun", width=width)
-    known = cut(known.select("log_id", "seq", "caller_seq", "arrow_kind", "hops", c("begun.seq").alias("rep"), c("begun.caller_seq").alias("parent_seq")))
-    reps = known.select(c("seq").alias("p_seq"), c("rep").alias("p_rep"))
-    forest = known.where("seq = rep").select("seq", "parent_seq").join(reps, c("parent_seq") == c("p_seq"), "left").select(c("seq").alias("node"), c("p_rep").alias("up"))
+    known = known.select("log_id", "seq", "arrow_kind", "hops", c("begun.seq").alias("rep"), c("begun.caller_seq").alias("parent_seq"))
+    known = cut(numbered(known).withColumn("rep", c("id") - c("seq") + c("rep")))
+    reps = known.select(c("id").alias("p_id"), c("rep").alias("p_rep"))
+    forest = known.where("id = rep").select(c("id").alias("node"), c("up").alias("at")).join(reps, c("at") == c("p_id"), "left").select("node", c("p_rep").alias("up"))
     depth = roots(forest, "node", "up").select(c("node").alias("d"), "depth")
     out = known.join(depth, c("rep") == c("d")).select("log_id", "seq", "parent_seq", "arrow_kind", c("depth").cast("int").alias("depth"), F.coalesce("hops", F.lit(0)).alias("hops"))
     rest = e.where("key is null").select("log_id", "seq", F.lit(None).cast("long").alias("parent_seq"), F.lit(None).cast("string").alias("arrow_kind"), F.lit(0).alias("depth"), F.lit(0).alias("hops"))
@@ -141,8 +156,9 @@ def link(events: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, sync_ms:
 
 
 def sequence_events(entries: DataFrame, functions: DataFrame, edges: DataFrame, rules: ModuleRules | None = None, width: int = WIDTH) -> DataFrame:
-    """Log entries with ``lane, function_id, parent_seq, arrow_kind, depth, hops``; repeated deliveries count once."""
-    once = entries.where("seq is not null").dropDuplicates(["seq"])
+    """Log entries with ``lane, function_id, parent_seq, arrow_kind, depth, hops``; repeated deliveries of a record of a log
+    count once. ``seq`` may number the records of each log or of all logs; links stay within a log."""
+    once = entries.where("seq is not null").dropDuplicates(["log_id", "seq"])
     e = cut(lanes(resolve_functions(once, functions), rules))
     linked = link(e, edges, width=width).withColumnsRenamed({"log_id": "l", "seq": "s"})
     on = F.col("log_id").eqNullSafe(F.col("l")) & (F.col("seq") == F.col("s"))
@@ -150,9 +166,8 @@ def sequence_events(entries: DataFrame, functions: DataFrame, edges: DataFrame,
 
 
 def sibling_counts(events: DataFrame) -> DataFrame:
-    """``seq, children``: how many records name a record as parent."""
-    once = events.where("seq is not null").dropDuplicates(["seq"])
-    n = once.where("parent_seq is not null").groupBy(F.col("parent_seq").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    return once.select("seq").join(n, F.col("seq") == F.col("p"), "left").select("seq", F.coalesce("n", F.lit(0)).alias("children"))
-
-
+    """``log_id, seq, children``: how many records of its log name a record as parent."""
+    c = F.col
+    once = events.where("seq is not null").dropDuplicates(["log_id", "seq"])
+    n = once.where("parent_seq is not null").groupBy(c("log_id").alias("l"), c("parent_seq").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return once.select("log_id", "seq").join(n, c("log_id").eqNullSafe(c("l")) & (c("seq") == c("p")), "left").select("log_id", "seq", F.coalesce("n", F.lit(0)).alias("children"))

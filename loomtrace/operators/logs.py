@@ -44,13 +44,14 @@ def assemble(lines: DataFrame, grammar: Grammar | None = None, width: int = WIDT
     rows = rows.withColumn("cut_ins", F.when(c("whole").contains("*****"), g.interrupts(c("whole"))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("body", g.without_interrupts(c("whole"))).drop("whole")
     rows = rows.withColumn("is_head", g.is_head(c("body")))
-    begun = F.when(c("is_head"), F.struct(c("line_no").alias("line"), (~g.has_trailer(c("body"))).alias("open")))
+    torn = g.has_partial_trailer(c("body"))
+    begun = F.when(c("is_head"), F.struct(c("line_no").alias("line"), (~g.has_trailer(c("body"))).alias("open"), torn.alias("torn")))
     # read several times below: written once to the shared folder
     rows = cut(last_known(rows, ["log_id"], "line_no", begun, "begun", width=width).withColumn("segment", c("begun.line")))
-    # only a head without its place at the end takes lines, and only up to the first that holds more than a piece of a place
-    by = Window.partitionBy("log_id", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    whole_lines = F.count(F.when(~strip(c("body")).rlike(r"(?U)^[\w:~<>.()]+$"), 1)).over(by)
-    near = rows.where(~c("is_head") & c("begun.open")).withColumn("k", whole_lines).where("k = 0")
+    # only a head without its place takes lines: a torn one as long as it stays torn, and a place on the line behind that
+    by = Window.partitionBy("log_id", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -2)
+    before = F.count(F.when(~g.keeps_torn(c("body")) | ~c("begun.torn"), 1)).over(by)
+    near = rows.where(~c("is_head") & c("begun.open")).withColumn("k", before).where("k = 0")
     tails = near.groupBy("log_id", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]).alias("tail"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["line_no"]).alias("tail_lines"))
     heads = rows.where("is_head").join(tails.withColumnsRenamed({"log_id": "t_log", "segment": "t_seg"}), c("log_id").eqNullSafe(c("t_log")) & (c("line_no") == c("t_seg")), "left")
     heads = heads.withColumn("made", _fold(g, c("body"), F.coalesce("tail", F.array().cast("array<string>"))))
@@ -103,5 +104,5 @@ def parse(lines: DataFrame, grammar: Grammar | None = None, width: int = WIDTH)
 
 def physical_lines(entries: DataFrame) -> DataFrame:
     """``log_id, line_no, line``: the lines that entries with a full ``raw`` were read from; repeated deliveries count once."""
-    once = entries.where("raw is not null").dropDuplicates(["seq"])
+    once = entries.where("raw is not null").dropDuplicates(["log_id", "seq"])
     return once.select("log_id", "line_no", F.posexplode(F.split("raw", "\n")).alias("i", "line")).select("log_id", (F.col("line_no") + F.col("i")).alias("line_no"), "line")

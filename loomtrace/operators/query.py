@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.paths import basename
 from loomtrace.operators.graph import dense_ids
-from loomtrace.operators.hierarchy import ancestors
-from loomtrace.operators.ordered import last_known
+from loomtrace.operators.hierarchy import roots
+from loomtrace.operators.link import numbered
+from loomtrace.operators.ordered import last_known, running
+from loomtrace.session import cut
 
 
 def once(events: DataFrame) -> DataFrame:
-    """Each record once; rows without seq are left out."""
-    return events.where("seq is not null").dropDuplicates(["seq"])
+    """Each record of each log once; rows without seq are left out."""
+    return events.where("seq is not null").dropDuplicates(["log_id", "seq"])
 
 
 def in_time(ts: Column, start: str | None, end: str | None) -> Column:
@@ -59,19 +61,32 @@ def search(events: DataFrame, text: str, mode: str = "all") -> DataFrame:
 
 
 def next_hits(events: DataFrame, text: str, asked: Column, mode: str = "all") -> DataFrame:
-    """``seq, next_seq``: for each asked record the next hit behind it, from the front again after the last one; null without hits."""
+    """``seq, next_seq, previous_seq, place, hits``: for each asked record the next hit behind it (from the front again after
+    the last one), the hit before it (from the end again before the first), how many hits there are up to it, and in all;
+    null and 0 without hits."""
     c = F.col
     e = events.select("seq", haystack(mode).contains(text.lower()).alias("hit"), asked.alias("asked")).withColumn("_back", -c("seq")).withColumn("_all", F.lit(1))
-    found = last_known(e, ["_all"], "_back", F.when(c("hit"), c("seq")), "later", include_self=False)
-    first = e.where("hit").agg(F.min("seq").alias("first_hit"))
-    return found.where("asked").crossJoin(F.broadcast(first)).select("seq", F.coalesce("later", "first_hit").alias("next_seq"))  # one row
+    e = cut(e.where("hit or asked"))
+    hit = F.when(c("hit"), c("seq"))
+    found = running(e, ["_all"], "seq", {"earlier": ("last", hit)}, include_self=False)
+    found = running(found, ["_all"], "seq", {"place": ("sum", F.when(c("hit"), 1))})
+    found = last_known(cut(found), ["_all"], "_back", hit, "later", include_self=False)
+    ends = e.where("hit").agg(F.min("seq").alias("first_hit"), F.max("seq").alias("last_hit"), F.count(F.lit(1)).alias("hits"))
+    out = found.where("asked").crossJoin(F.broadcast(ends))  # one row
+    return out.select("seq", F.coalesce("later", "first_hit").alias("next_seq"), F.coalesce("earlier", "last_hit").alias("previous_seq"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), "hits")
 
 
 def hidden(events: DataFrame, collapsed: Column) -> DataFrame:
-    """``seq`` of the records below a collapsed one. Records whose parents never end are not hidden."""
-    shut = events.where(collapsed).select(F.col("seq").alias("shut"))
-    above = ancestors(events).where("distance > 0")
-    return above.join(shut, F.col("ancestor") == F.col("shut"), "left_semi").select(F.col("node").alias("seq")).distinct()
+    """``log_id, seq`` of the records below a collapsed one. Records whose parents never end are not hidden.
+
+    Ways up end at collapsed records: what hangs below one has it as the root of the tree so cut.
+    """
+    c = F.col
+    e = cut(numbered(events.withColumn("_shut", F.coalesce(collapsed, F.lit(False)))).select("log_id", "seq", "id", "up", "_shut"))
+    endless = roots(e, "id", "up").where("cycle").select(c("node").alias("n"))
+    tops = roots(e.withColumn("up", F.when(~c("_shut"), c("up"))), "id", "up").select(c("node").alias("n"), "root")
+    shut = tops.join(e.where("_shut").select(c("id").alias("s")), c("root") == c("s"), "left_semi").select("n")
+    return e.join(shut, c("up") == c("n"), "left_semi").join(endless, c("id") == c("n"), "left_anti").select("log_id", "seq")
 
 
 def find_functions(functions: DataFrame, events: DataFrame, text: str, first: int = 400, top: int = 60) -> DataFrame:
@@ -136,11 +151,15 @@ def kept_raw(most: int = 4000) -> Column:
 
 
 def full_text() -> Column:
-    """A record's line as it stood in the log, rebuilt from its columns where ``raw`` is null."""
+    """A record's line with its time, as it stood in the log, rebuilt from its columns where ``raw`` is null or empty: tick,
+    module and place are left out where they are missing."""
     c = F.col
-    place = F.when(c("function_name").isNotNull(), F.concat(F.lit(" ("), F.coalesce("file_name", F.lit("")), F.lit(":"), F.coalesce(c("line_number").cast("string"), F.lit("")), F.lit(" "), c("function_name"), F.lit(")"))).otherwise(F.lit(""))
-    rebuilt = F.concat(F.lit("["), F.coalesce(c("tick").cast("string"), F.lit("0")), F.lit("] "), F.rpad("level", 5, " "), F.lit(" "), F.coalesce("module_name", F.lit("")), F.lit(" "), F.coalesce("message", F.lit("")), place)
-    return F.coalesce("raw", rebuilt)
+    some = lambda x, *parts: F.when(x.isNotNull(), F.concat(*parts)).otherwise(F.lit(""))
+    place = some(c("file_name"), F.lit(" ("), c("file_name"), F.lit(":"), F.coalesce(c("line_number").cast("string"), F.lit("-1")), F.lit(" "), F.coalesce("function_name", F.lit("")), F.lit(")"))
+    tick = some(c("tick"), F.lit("["), c("tick").cast("string"), F.lit("] "))
+    rebuilt = F.concat(tick, F.coalesce("level", F.lit("UNKNOWN")), F.lit(" "), some(c("module_name"), c("module_name"), F.lit(" ")), F.coalesce("message", F.lit("")), place)
+    time = F.coalesce(F.date_format(F.timestamp_millis("ts_ms").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(""))
+    return F.concat(F.lit("["), time, F.lit("] "), F.when(c("raw") != "", c("raw")).otherwise(rebuilt))
 
 
 def relative_ms(events: DataFrame) -> DataFrame:

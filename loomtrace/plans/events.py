@@ -33,7 +33,7 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "thread_filter": lambda s, d: q.masked(_events(s, d), threads=("(none)", "T01")).select("seq", "thread_id"),
     "search_text": lambda s, d: q.search(_events(s, d), "Drained").select("seq"),
     "search_next": lambda s, d: q.next_hits(_events(s, d), "drained", F.col("seq") % 20 == 0),
-    "collapse_hidden": lambda s, d: q.hidden(_events(s, d), F.col("seq") % 20 == 0),
+    "collapse_hidden": lambda s, d: q.hidden(_events(s, d), F.col("seq") % 20 == 0).select("seq"),
     "function_finder": lambda s, d: q.find_functions(load(s, d, "source_functions").dropDuplicates(["function_id"]), _events(s, d), "flush"),
     "facet_counts": lambda s, d: q.facets(_events(s, d)),
     "lane_merge": lambda s, d: q.merged_lanes(_events(s, d)),
@@ -41,7 +41,7 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "most_logged": lambda s, d: q.most_logged(_events(s, d)),
     "log_spans": lambda s, d: q.log_spans(_events(s, d)),
     "intern_functions": lambda s, d: q.interned(_events(s, d), "function_id"),
-    "child_counts": lambda s, d: sibling_counts(_events(s, d)),
+    "child_counts": lambda s, d: sibling_counts(_events(s, d)).select("seq", "children"),
     "truncated_messages": lambda s, d: _logs(s, d).select("seq", q.truncated(F.col("message"), 60).alias("message"), q.kept_raw(80).alias("raw")),
     "full_text": lambda s, d: _events(s, d).select("seq", q.full_text().alias("line")),
     "relative_time": lambda s, d: q.relative_ms(_events(s, d)).select("seq", "rel_ms", q.clock(F.col("rel_ms")).alias("clock")),
@@ -61,7 +61,8 @@ SQL: dict[str, str] = {
     "thread_filter": f"{E_} SELECT seq, thread_id FROM e WHERE coalesce(thread_id, '(none)') IN ('(none)', 'T01')",
     "search_text": f"{E_} SELECT seq FROM e WHERE contains({HAY}, 'drained')",
     "search_next": f"""{E_}, h AS (SELECT seq FROM e WHERE contains({HAY}, 'drained')), a AS (SELECT seq FROM e WHERE seq % 20 = 0)
-        SELECT a.seq, coalesce(h.seq, (SELECT min(seq) FROM h)) AS next_seq FROM a ASOF LEFT JOIN h ON a.seq < h.seq""",
+        SELECT a.seq, coalesce((SELECT min(seq) FROM h WHERE h.seq > a.seq), (SELECT min(seq) FROM h)) AS next_seq, coalesce((SELECT max(seq) FROM h WHERE h.seq < a.seq), (SELECT max(seq) FROM h)) AS previous_seq,
+        (SELECT count(*) FROM h WHERE h.seq <= a.seq) AS place, (SELECT count(*) FROM h) AS hits FROM a""",
     "collapse_hidden": """WITH RECURSIVE e AS (SELECT DISTINCT seq, parent_seq FROM sequence_events),
         p AS (SELECT c.seq, c.parent_seq FROM e c JOIN e u ON c.parent_seq = u.seq),
         up AS (SELECT seq, parent_seq AS anc FROM p UNION SELECT up.seq, p.parent_seq FROM up JOIN p ON up.anc = p.seq),
@@ -84,8 +85,9 @@ SQL: dict[str, str] = {
     "child_counts": f"{E_} SELECT e.seq, count(c.seq) AS children FROM e LEFT JOIN e c ON c.parent_seq = e.seq GROUP BY 1",
     "truncated_messages": f"""{L_} SELECT seq, CASE WHEN length(message) > 60 THEN message[1:60] || ' …(truncated)' ELSE message END AS message,
         CASE WHEN kind <> 'STRUCTURED' OR contains(raw, chr(10)) THEN raw[1:80] END AS raw FROM e""",
-    "full_text": f"""{E_} SELECT seq, coalesce(raw, '[' || coalesce(tick::VARCHAR, '0') || '] ' || rpad(level, 5, ' ') || ' ' || coalesce(module_name, '') || ' ' || coalesce(message, '')
-        || CASE WHEN function_name IS NOT NULL THEN ' (' || coalesce(file_name, '') || ':' || coalesce(line_number::VARCHAR, '') || ' ' || function_name || ')' ELSE '' END) AS line FROM e""",
+    "full_text": f"""{E_} SELECT seq, '[' || coalesce(strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S.%g'), '') || '] ' || CASE WHEN raw <> '' THEN raw ELSE
+        coalesce('[' || tick || '] ', '') || coalesce(level, 'UNKNOWN') || ' ' || coalesce(module_name || ' ', '') || coalesce(message, '')
+        || CASE WHEN file_name IS NOT NULL THEN ' (' || file_name || ':' || coalesce(line_number, -1) || ' ' || coalesce(function_name, '') || ')' ELSE '' END END AS line FROM e""",
     "relative_time": f"""{E_}, b AS (SELECT log_id, arg_min(ts_ms, seq) FILTER (ts_ms IS NOT NULL) AS base FROM e GROUP BY 1),
         r AS (SELECT seq, ts_ms - base AS m FROM e JOIN b USING (log_id))
         SELECT seq, m AS rel_ms, CASE WHEN m < 0 THEN '-' ELSE '' END || (abs(m) // 3600000)::VARCHAR || ':' || lpad((abs(m) // 60000 % 60)::VARCHAR, 2, '0') || ':'

@@ -53,8 +53,9 @@ P5_FOUND = f"""WITH RECURSIVE {_TREE}, g AS (SELECT DISTINCT caller, callee FROM
     SELECT 'parent' AS relation, e.seq::VARCHAR AS node, coalesce(root::VARCHAR, 'cycle') AS root FROM e LEFT JOIN down USING (seq) WHERE e.parent_seq IS NOT NULL
     UNION ALL SELECT 'call', caller, 'cycle' FROM r WHERE caller = callee AND caller IN (SELECT function_id FROM source_functions)"""
 
-P5_HIERARCHY = f"""WITH RECURSIVE {_TREE}, a AS (SELECT seq, unnest(string_split(path, '/'))::BIGINT AS anc FROM down), n AS (SELECT anc AS seq, count(*) - 1 AS descendants FROM a GROUP BY 1)
-    SELECT e.seq AS node, down.root, down.depth, down.seq IS NULL AS cycle, down.path, n.descendants FROM e LEFT JOIN down USING (seq) LEFT JOIN n USING (seq)"""
+P5_HIERARCHY = f"""WITH RECURSIVE {_TREE}, up AS (SELECT seq, parent_seq AS anc FROM p UNION SELECT up.seq, p.parent_seq FROM up JOIN p ON up.anc = p.seq),
+    n AS (SELECT anc AS seq, count(*) AS descendants FROM up GROUP BY 1)
+    SELECT e.seq AS node, down.root, down.depth, down.seq IS NULL AS cycle, down.path, coalesce(n.descendants, 0) AS descendants FROM e LEFT JOIN down USING (seq) LEFT JOIN n USING (seq)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

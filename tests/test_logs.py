@@ -1,5 +1,7 @@
 """The log grammar and the repair of torn records, against small logs."""
 
+import random
+
 from loomtrace.operators.logs import assemble, number, parse
 from loomtrace.sources.text import lines_of, read_lines
 
@@ -87,3 +89,50 @@ def test_read_lines(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["line_no"] for r in got] == list(range(1, 5004))
     assert [r["line"] for r in got[:4]] == ["one", "two", "three", "x�"]
+
+
+def fold(bodies):
+    """(first line, kind, text) by one walk over a log's lines (no times, no interrupts), as the format is defined."""
+    import re
+
+    place = re.compile(r"\s\([^\s():]+\.[A-Za-z0-9]{1,4}:\d+ [A-Za-z_~][\w:~<>]*\)\s*$")
+    torn = re.compile(r"\s\([^\s():]+\.[A-Za-z0-9]{1,4}(?::\d*(?: [\w:~<>]*)?)?$")
+    pure = re.compile(r"^\s*\([^\s():]+\.[A-Za-z0-9]{1,4}:\d+ [A-Za-z_~][\w:~<>]*\)\s*$")
+    head = re.compile(r"^\[\d+\] (?:INFO|WARN) ?")
+    out, at = [], None
+    for i, b in enumerate(bodies, 1):
+        if at is not None and not place.search(out[at][2]):
+            now = out[at]
+            if torn.search(now[2]) and b.strip():
+                if not head.match(b):
+                    out[at] = (now[0], now[1], now[2] + b.strip())
+                    continue
+            elif pure.match(b):
+                out[at] = (now[0], now[1], now[2] + "\n" + b.strip())
+                continue
+        at = None
+        if head.match(b):
+            at = len(out)
+            out.append((i, "STRUCTURED", b))
+        elif b.strip():
+            out.append((i, "RAW", b))
+    return out
+
+
+def test_torn_twice(spark):
+    got = rows(spark, [line("14:00:00.000", "INFO", "M", "hello", " (a.c"), ":5 fu", "nc)", "raw"])
+    assert [(r["kind"], r["file_name"], r["line_number"], r["function_name"]) for r in got] == [("STRUCTURED", "a.c", 5, "func"), ("RAW", None, None, None)]
+
+
+def test_random_lines_against_a_fold(spark):
+    rnd = random.Random(11)
+    parts = ["[0] INFO  M                       m", "[1] WARN  M                       x (a.c", "[0] INFO  M                       y (a.c:5 fu", "[0] INFO  M                       z (a.c:5 f)", "(b.c:7 g)", " (b.c:7 g)", ":5 fu", ":", "5 ", "nc)", ".c", "fu", "text of others", "", "  ", "(x.c", ")", "a b.c (y.c:1"]
+    logs = {f"l{i}": [rnd.choice(parts) for _ in range(60)] for i in range(20)}
+    d = None
+    for k, v in logs.items():
+        d = lines_of(spark, v, k) if d is None else d.unionByName(lines_of(spark, v, k))
+    got: dict = {k: [] for k in logs}
+    for r in assemble(d).orderBy("log_id", "line_no").collect():
+        got[r["log_id"]].append((r["line_no"], r["kind"], r["body"]))
+    for k, v in logs.items():
+        assert got[k] == fold(v), v
