@@ -2,8 +2,9 @@
 
 Every line is cut into lexical tokens and parsed with a weighted context-free grammar (Earley): rules describe headers,
 their fields, and lines that continue an entry; the highest-scoring parse is kept, and what no field covers is exposed
-as unparsed. A parse depends on the tokens' classes only, so each task parses every distinct shape of line once and
-maps the spans to all lines of that shape.
+as unparsed: pairs and members that are no field, and whole lines. A parse depends on the tokens' classes only, so each
+task parses every distinct shape of line once and maps the spans to all lines of that shape. Lines of all lengths are
+read alike.
 
 Lines become entries with set operations: the last beginning before a line, found per block of ``seq`` (so that one log
 with a third of all rows is many tasks' work) and carried over block borders by a table of one row per log and block.
@@ -23,6 +24,7 @@ from loomtrace.session import cut
 
 BLOCK = 1 << 16
 _CACHE = 100_000
+_CACHED_TOKENS = 400
 
 # fixed values: words for levels, and the level each stands for
 LEVEL_WORDS = {
@@ -95,18 +97,21 @@ Xml 2 : Open | Open XMsg < / W >
 Open 0 : < W Attrs >
 Attrs 0 : Attr | Attrs Attr
 Attr 1 : SP KLVL = '"' Lvl '"' | SP KCMP = '"' Comp '"' | SP KTS = '"' Time '"'
-Attr -1 : SP W = '"' Quotable '"'
+Attr -1 : SP Extra
+Extra 0 : W = '"' Quotable '"'
 XMsg 0 : NOLT | XMsg NOLT
 Logfmt -5 : Pairs
 Pairs 0 : Pair | Pairs SP Pair
 Pair 3 : KLVL = Lvl | KTS = Stamp | KTS = '"' Stamp '"'
 Pair 2 : KCMP = Comp | KMSG = '"' QMsg '"'
-Pair 0 : W = Name | W = N | W = N . N | W = '"' Quotable '"'
+Pair 0 : Other
+Other 0 : W = Name | W = N | W = N . N | W = '"' Quotable '"'
 Json 3 : { Members }
 Members 0 : Member | Members , Member | Members , SP Member
 Member 1 : Key
 Key 1 : '"' KLVL '"' Colon '"' Lvl '"' | '"' KLVL '"' Colon Num | '"' KCMP '"' Colon '"' Comp '"' | '"' KTS '"' Colon '"' Time '"' | '"' @ KTS '"' Colon '"' Time '"' | '"' KTS '"' Colon Epoch | '"' KMSG '"' Colon '"' QMsg '"'
-Key -1 : '"' W '"' Colon N | '"' W '"' Colon W | '"' W '"' Colon '"' Quotable '"' | '"' W '"' Colon '"' '"' | '"' KMSG '"' Colon '"' '"'
+Key -1 : Member2 | '"' KMSG '"' Colon '"' '"'
+Member2 0 : '"' W '"' Colon N | '"' W '"' Colon W | '"' W '"' Colon '"' Quotable '"' | '"' W '"' Colon '"' '"'
 Colon 0 : ':' | ':' SP
 JsonOpen -1 : { | SP {
 # lines that belong to an entry begun before
@@ -118,7 +123,8 @@ XmlPart 0 : < / W > | SP < W > XMsg < / W > | < W > XMsg < / W >
 """,
     "Line",
 )
-KEEP = frozenset("Time Epoch Uptime Comp Lvl Letter Pri Num Msg QMsg XMsg Single JulHead JsonOpen JsonField JsonClose JulLevel XmlPart Unparsed".split())
+KEEP = frozenset("Time Epoch Uptime Comp Lvl Letter Pri Num Msg QMsg XMsg Single JulHead JsonOpen JsonField JsonClose JulLevel XmlPart Unparsed Extra Other Member2".split())
+_UNCOVERED = frozenset("Unparsed Extra Other Member2".split())
 
 _TOKEN = re.compile(r"(?P<sp>[ \t]+)|(?P<t>T(?=[0-9]{2}:))|(?P<n>[0-9]+)|(?P<w>[A-Za-z_][A-Za-z0-9_]*|[^\x00-\x7f]+)|(?P<s>.)", re.S)
 
@@ -133,32 +139,6 @@ def _signs(c: str) -> frozenset[str]:
 
 
 _FREE = {"ANY", "NOQ", "NOLT"}
-HEADER_TOKENS = 60
-LONG_LINE = 2_000
-_FIELDS = re.compile(r'(?:\[[0-9]{4}-[^]]*\][ \t]+)?[ \t]*(?P<open>[{"]|<(?![0-9])|[A-Za-z_][A-Za-z0-9_]*=)')
-_CLOSING = frozenset('"\\<>{}')
-
-
-def _free(line: str, kinds: list[frozenset[str]]) -> list[bool]:
-    """Which tokens of a very long line no field but a message can take: where fields may follow the message (pairs,
-    JSON, cells, tags) those of quoted values longer than any other field, and what follows an opening tag; else all behind the header."""
-    if not (opening := _FIELDS.match(line)):
-        return [i >= HEADER_TOKENS for i in range(len(kinds))]
-    out = [False] * len(kinds)
-    begin, escaped = -1, False
-    for i, k in enumerate(kinds):
-        if escaped:
-            escaped = False
-        elif "\\" in k:
-            escaped = begin >= 0
-        elif '"' in k:
-            if begin >= 0 and i - begin > HEADER_TOKENS:
-                out[begin + 1 : i] = [True] * (i - begin - 1)
-            begin = i if begin < 0 else -1
-        elif ">" in k and begin < 0 and opening.group("open") == "<":
-            out[i + 1 :] = [True] * (len(kinds) - i - 1)
-            break
-    return out
 
 
 def lexed(line: str) -> tuple[tuple[frozenset[str], ...], list[int]]:
@@ -202,20 +182,12 @@ def lexed(line: str) -> tuple[tuple[frozenset[str], ...], list[int]]:
         kinds.append(k)
         starts.append(m.start())
         plain.append(easy)
-    # behind the header words of any kind and numbers are as plain; in very long lines all but signs that close fields are,
-    # where text is free
-    free = _free(line, kinds) if len(kinds) > LONG_LINE else None
-    for i in range(len(kinds)):
-        if not plain[i] and i >= HEADER_TOKENS:
-            plain[i] = bool({"W", "N"} & kinds[i])
-        if free is not None and free[i]:
-            plain[i] = not _CLOSING & kinds[i]
     out: list[frozenset[str]] = []
     at: list[int] = []
     i = 0
     while i < len(kinds):
         j = i
-        if plain[i] and "SP" not in kinds[i] and (i >= HEADER_TOKENS or "W" in kinds[i] or free is not None and free[i]):
+        if plain[i] and "SP" not in kinds[i]:
             while j < len(kinds) and plain[j]:
                 j += 1
             while j > i and "SP" in kinds[j - 1]:
@@ -241,7 +213,7 @@ def _level(name: str, text: str) -> str | None:
 
 
 ROLES = {"Single": "entry", "JulHead": "head", "JsonOpen": "open", "JsonField": "field", "JsonClose": "close", "JulLevel": "level", "XmlPart": "part"}
-LINE_SCHEMA = "role string, time_text string, level string, component string, message string, unparsed string"
+LINE_SCHEMA = "role string, time_text string, level string, component string, message string, unparsed array<string>"
 
 
 class LineParser:
@@ -250,17 +222,20 @@ class LineParser:
     def __init__(self) -> None:
         self.seen: dict[tuple, list[tuple[str, int, int]]] = {}
 
-    def __call__(self, line: str) -> tuple[str, str | None, str | None, str | None, str | None, str | None]:
-        """(role, time, level, component, message, unparsed) of one line; the role of a line that continues is ``cont``."""
+    def __call__(self, line: str) -> tuple[str, str | None, str | None, str | None, str | None, list[str]]:
+        """(role, time, level, component, message, unparsed) of one line; the role of a line that continues is ``cont``.
+        ``unparsed`` are the spans that no field covers."""
         kinds, at = lexed(line)
         spans = self.seen.get(kinds)
         if spans is None:
             found = parse(GRAMMAR, list(kinds), KEEP) if kinds else None
             spans = found[1] if found else [("Unparsed", 0, len(kinds))]
-            if len(self.seen) >= _CACHE:
-                self.seen.clear()
-            self.seen[kinds] = spans
-        role, time, level, component, message, rest = "cont", None, None, None, None, None
+            if len(kinds) <= _CACHED_TOKENS:
+                if len(self.seen) >= _CACHE:
+                    self.seen.clear()
+                self.seen[kinds] = spans
+        role, time, level, component, message = "cont", None, None, None, None
+        rest: list[str] = []
         for name, i, j in spans:
             text = line[at[i] : at[j]]
             if name in ROLES:
@@ -271,8 +246,9 @@ class LineParser:
                 level = level or _level(name, text)
             elif name == "Comp":
                 component = component or text
-            elif name == "Unparsed":
-                rest = text
+            elif name in _UNCOVERED:
+                if text:
+                    rest.append(text)
             else:
                 message = text if message is None else message
         if role == "head":
@@ -298,28 +274,28 @@ def parse_lines(logs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_parse_lines, "log_id string, seq long, raw string, " + LINE_SCHEMA)
 
 
-_FORMATS = (
-    # fixed values: layouts of timestamps, without fractions
-    "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MMM d, yyyy h:mm:ss a",
-)
+# fixed values: layouts of dates with times, without fractions and zones
+_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MMM d, yyyy h:mm:ss a")
 
 
-def entry_time(text) -> F.Column:
-    """A header's timestamp as wall-clock TIMESTAMP_NTZ; forms without a year (or counted from boot) give null."""
-    plain = F.regexp_replace(F.regexp_replace(text, "([0-9])T([0-9])", "$1 $2"), r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$", "")
-    plain = F.regexp_replace(plain, r"(:[0-9]{2}:[0-9]{2})[.,][0-9]+", "$1")
-    epoch = F.when(text.rlike(r"^[0-9]{10}(\.[0-9]+)?$"), F.timestamp_micros((text.cast("decimal(20,6)") * 1000000).cast("long")).cast("timestamp_ntz"))
-    return F.coalesce(epoch, *(F.try_to_timestamp(plain, F.lit(f)).cast("timestamp_ntz") for f in _FORMATS))
+def entry_time(text: F.Column) -> F.Column:
+    """A header's timestamp as TIMESTAMP_NTZ with microseconds: wall-clock time as written, UTC where a zone is given and
+    for seconds or milliseconds since 1970. Forms without a year (or counted from boot) give null."""
+    zone = F.regexp_extract(text, r":[0-9]{2}(?:[.,][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})$", 1)
+    fraction = F.regexp_extract(text, r":[0-9]{2}[.,]([0-9]+)", 1)
+    plain = F.regexp_replace(F.regexp_replace(text, "([0-9])T([0-9])", "$1 $2"), r"(:[0-9]{2})(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?$", "$1")
+    plain = F.regexp_replace(plain, r"(:[0-9]{2})[.,][0-9]+ ", "$1 ")
+    hours, minutes = F.substring(zone, 2, 2).cast("int"), F.regexp_extract(zone, "([0-9]{2})$", 1).cast("int")
+    sign = F.when(zone.startswith("-"), 1).otherwise(-1)
+    shift = F.when(F.length(zone) > 1, F.make_dt_interval(F.lit(0), sign * hours, sign * minutes, F.lit(0).cast("decimal(18,6)"))).otherwise(F.make_dt_interval())
+    part = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce(F.concat(F.lit("0."), F.substring(F.when(fraction != "", fraction), 1, 6)).cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")))
+    written = F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)).cast("timestamp_ntz") for f in _FORMATS)) + part + shift
+    micros = F.when(text.rlike(r"^[0-9]{10}(\.[0-9]+)?$"), (text.cast("decimal(20,6)") * 1000000).cast("long")).when(text.rlike(r"^[0-9]{13}$"), text.cast("long") * 1000)
+    return F.coalesce(F.timestamp_micros(micros).cast("timestamp_ntz"), written)
 
 
-def entries(logs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Entries of other programs among the RAW records of each log.
-
-    One row per entry: ``log_id, first_seq, last_seq, lines, time_text, entry_ts, level, component, message``. An entry
-    begins at a header (or the opening of a record over several lines) and takes all RAW records of its log up to the next
-    beginning; RAW records before a log's first beginning belong to none. ``level`` is UNKNOWN and ``component`` empty where
-    the entry names none. Null ``log_id`` counts as a log of its own; an empty table gives no entries.
-    """
+def _with_begin(logs: DataFrame, block: int) -> DataFrame:
+    """Each RAW line, once, with the beginning (seq, role) it belongs to and the RAW line before it."""
     # parsed once: the lines are read again for the borders below
     lines = cut(parse_lines(logs)).withColumn("block", F.floor(F.col("seq") / block).cast("long"))
     key = ["log_id", "block"]
@@ -328,7 +304,7 @@ def entries(logs: DataFrame, block: int = BLOCK) -> DataFrame:
     # repeated deliveries are copies of their neighbour; only the first counts
     lines = lines.withColumn("again", F.lag("seq").over(by_seq) == F.col("seq")).where(F.coalesce(~F.col("again"), F.lit(True)))
     lines = lines.withColumn("begin", F.last(F.when(begins, F.struct("seq", "role")), ignorenulls=True).over(by_seq))
-    lines = lines.withColumn("before", F.lag("seq").over(by_seq)).select(*key, "seq", "role", "time_text", "level", "component", "message", "begin", "before")
+    lines = lines.withColumn("before", F.lag("seq").over(by_seq)).select(*key, "seq", "role", "time_text", "level", "component", "message", "unparsed", "begin", "before")
     # over block borders: the last beginning of each block, carried to the following ones
     borders = lines.groupBy(*key).agg(F.max("begin").alias("last_begin"), F.max("seq").alias("last_of_block"))
     by_block = Window.partitionBy("log_id").orderBy("block")
@@ -338,7 +314,21 @@ def entries(logs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.lag("last_of_block").over(by_block).alias("before_block"),
     )
     joined = lines.join(borders, F.col("log_id").eqNullSafe(F.col("b_log")) & (F.col("block") == F.col("b_block")), "left")
-    joined = joined.withColumn("begin", F.coalesce("begin", "carried")).withColumn("before", F.coalesce("before", "before_block")).where("begin is not null")
+    joined = joined.withColumn("begin", F.coalesce("begin", "carried")).withColumn("before", F.coalesce("before", "before_block"))
+    return joined.drop("b_log", "b_block", "carried", "before_block")
+
+
+def entries(logs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Entries of other programs among the RAW records of each log.
+
+    One row per entry: ``log_id, first_seq, last_seq, lines, time_text, entry_ts, level, component, message, unparsed,
+    unparsed_spans``. An entry begins at a header (or the opening of a record over several lines) and takes all RAW records
+    of its log up to the next beginning; RAW records before a log's first beginning belong to none. ``level`` is UNKNOWN and
+    ``component`` empty where the entry names none. ``unparsed`` are the spans of its first line that no field covers,
+    ``unparsed_spans`` counts those of all its lines (``unparsed_spans()`` lists them). Null ``log_id`` counts as a log of its
+    own; an empty table gives no entries.
+    """
+    joined = _with_begin(logs, block).where("begin is not null")
     opened = F.col("begin.role")
     own = F.col("seq") == F.col("begin.seq")
     second = (opened == "head") & (F.col("role") == "level") & (F.col("before") == F.col("begin.seq"))
@@ -347,9 +337,17 @@ def entries(logs: DataFrame, block: int = BLOCK) -> DataFrame:
     tells = own | second | inside | told
     pick = lambda c: F.min_by(F.when(tells, F.col(c)), F.when(tells & F.col(c).isNotNull(), F.col("seq"))).alias(c)
     out = joined.groupBy("log_id", F.col("begin.seq").alias("first_seq")).agg(
-        F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("lines"), pick("time_text"), pick("level"), pick("component"), pick("message")
-    )
+        F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("lines"), pick("time_text"), pick("level"), pick("component"), pick("message"),
+        F.min_by("unparsed", "seq").alias("unparsed"), F.sum(F.size("unparsed")).alias("unparsed_spans"),
+    )
     return out.select(
         "log_id", "first_seq", "last_seq", "lines", "time_text", entry_time(F.col("time_text")).alias("entry_ts"),
-        F.coalesce("level", F.lit("UNKNOWN")).alias("level"), F.coalesce("component", F.lit("")).alias("component"), "message",
+        F.coalesce("level", F.lit("UNKNOWN")).alias("level"), F.coalesce("component", F.lit("")).alias("component"), "message", "unparsed", "unparsed_spans",
     )
+
+
+def unparsed_spans(logs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``log_id, first_seq, seq, place, span``: what no field covers of each RAW record, in order, with the entry that it
+    belongs to (null before a log's first one)."""
+    lines = _with_begin(logs, block)
+    return lines.select("log_id", F.col("begin.seq").alias("first_seq"), "seq", F.posexplode("unparsed").alias("place", "span"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.operators.hierarchy import call_descendants, call_hierarchy, descendants, found_links, hierarchy
-from loomtrace.operators.loglines import entries
+from loomtrace.operators.loglines import entries, unparsed_spans
 from loomtrace.session import load
 
 
@@ -22,6 +22,11 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     return entries(load(spark, d, "log_entries"))
 
 
+def p4_unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """What no field covers: the spans of every line, with the entry it belongs to."""
+    return unparsed_spans(load(spark, d, "log_entries"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Roots of all records with a parent, cycles, and functions that reach themselves."""
     return found_links(load(spark, d, "sequence_events"), load(spark, d, "source_functions"), load(spark, d, "call_edges"))
@@ -59,7 +64,7 @@ P5_HIERARCHY = f"""WITH RECURSIVE {_TREE}, up AS (SELECT seq, parent_seq AS anc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_call_hierarchy": p5_call_hierarchy, "p5_descendants": p5_descendants}
+    return {"p4_found": p4_found, "p4_entries": p4_entries, "p4_unparsed": p4_unparsed, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_call_hierarchy": p5_call_hierarchy, "p5_descendants": p5_descendants}
 
 
 def oracle_sql() -> dict[str, str]:
