@@ -1,7 +1,7 @@
 """Problem 7: mixing sources to target weights.
 
 Texts of a source are laid end to end and cut into blocks of a fixed number of tokens. Each output shard draws how many
-blocks it takes from each source (multinomial by weight); running sums over shards number a source's slots. A slot's
+blocks it takes from each source (multinomial by weight); running sums over shards, by ranges, number a source's slots. A slot's
 number gives its pass over the source and, by a pseudorandom permutation of that pass, the index of its block; blocks
 are joined by index. A slot past the last allowed pass stays empty, so that no text is used more often than allowed, and
 the shares reached are reported.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.llm.packing import byte_tokens
+from loomtrace.operators.ordered import offsets
 from loomtrace.session import cut
 
 BLOCK = 1024
@@ -58,15 +60,15 @@ def _wanted(targets: DataFrame) -> list[tuple[str, str, float, int]]:
     return list(best.values())
 
 
-def source_sizes(docs: DataFrame, targets: DataFrame, size: Column | None = None) -> DataFrame:
-    """``source, weight, max_repeats, texts, size, total, enough``: what each source of the mixture holds.
-
-    ``total`` is the size of all documents, of named sources or not. ``enough`` says whether the source can fill its share at
-    its cap. Sources without documents have size 0.
-    """
+def _sized(docs: DataFrame, size: Column | None) -> DataFrame:
+    """``doc_id, key, size`` of all documents: what is read of them, once."""
     size = byte_tokens(F.col("text")) if size is None else size
-    sums = docs.select(spelling(F.col("source")).alias("key"), size.alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("size"))
-    total = sums.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), spelling(F.col("source")).alias("key"), size.alias("size"))
+
+
+def _sizes_of(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    sums = sized.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("size"))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     want = targets.where("source is not null").select(spelling(F.col("source")).alias("k"), "source", "weight", "max_repeats").dropDuplicates(["k"])
     out = want.join(sums, F.col("k") == F.col("key"), "left").crossJoin(F.broadcast(total))  # one row: the sum over all
     size0 = F.coalesce("size", F.lit(0))
@@ -76,6 +78,25 @@ def source_sizes(docs: DataFrame, targets: DataFrame, size: Column | None = None
     )
 
 
+def source_sizes(docs: DataFrame, targets: DataFrame, size: Column | None = None) -> DataFrame:
+    """``source, weight, max_repeats, texts, size, total, enough``: what each source of the mixture holds.
+
+    ``total`` is the size of all documents, of named sources or not. ``enough`` says whether the source can fill its share at
+    its cap. Sources without documents have size 0.
+    """
+    return _sizes_of(_sized(docs, size), targets)
+
+
+@dataclass
+class Mixture:
+    """``blocks``: the mixture's rows, see ``mix``; ``asked``: ``source, slots``, how many slots were drawn for each source;
+    ``sizes``: see ``source_sizes``."""
+
+    blocks: DataFrame
+    asked: DataFrame
+    sizes: DataFrame
+
+
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK, seed: int = 7, size: Column | None = None) -> DataFrame:
     """The mixture as rows ``shard, slot, source, pass, block, doc_id, begin, end``: which tokens of which texts fill each slot.
 
@@ -83,13 +104,26 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
     without text do not take part; repeated rows of a text count as texts of their own. Slots that no allowed pass can fill
     are left out. A last block of a packing group may hold fewer tokens than the others.
     """
+    return mixture(docs, targets, total, block, seed, size).blocks
+
+
+def _within(df: DataFrame, key: str, order: str, size: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``size`` over the rows of the key before, by ranges of (key, order)."""
+    c = F.col
+    all_ = cut(offsets(df, [key, order], size, "_all"))
+    base = all_.groupBy(c(key).alias("_k")).agg(F.min("_all").alias("_base"))
+    return all_.join(base, c(key) == c("_k")).withColumn(out, c("_all") - c("_base")).drop("_k", "_all", "_base")
+
+
+def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK, seed: int = 7, size: Column | None = None) -> Mixture:
+    """``mix`` with what it was asked for and what the sources hold; documents are read once."""
     spark = docs.sparkSession
-    size = byte_tokens(F.col("text")) if size is None else size
     want = _wanted(targets)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spelling(F.col("source")).alias("key"), size.alias("size"))
+    sized = cut(_sized(docs, size))
+    sizes = _sizes_of(sized, targets)
     if total is None:
-        total = rows.agg(F.sum("size")).first()[0] or 0
-    rows = rows.where(F.col("doc_id").isNotNull() & (F.col("size") > 0) & F.col("key").isin(*(k for k, *_ in want)))
+        total = sized.agg(F.sum("size")).first()[0] or 0
+    rows = sized.where(F.col("doc_id").isNotNull() & (F.col("size") > 0) & F.col("key").isin(*(k for k, *_ in want)))
     n = rows.count()
     groups = max(1, -(-n // PACK_ROWS))
     # a source's texts end to end, in packing groups of bounded size; one source may hold most rows
@@ -102,9 +136,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
         (F.least(F.col("to"), (F.col("b") + 1) * block) - F.col("from")).alias("end"),
     )
     spans = cut(spans)
-    per = spans.groupBy("key", "g").agg((F.max("b") + 1).alias("blocks"))
-    before = Window.partitionBy("key").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+    per = _within(spans.groupBy("key", "g").agg((F.max("b") + 1).alias("blocks")), "key", "g", "blocks", "first")
     held = {r["key"]: int(r["n"]) for r in per.groupBy("key").agg(F.sum("blocks").alias("n")).collect()}  # a row a source
     firsts = per.select(F.col("key").alias("k2"), F.col("g").alias("g2"), "first")
     # groups × sources rows: joined as they come, Spark broadcasts them while they are small
@@ -113,7 +145,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
     shards = -(-slots // SHARD_BLOCKS)
     weights = np.array([max(x[2], 0.0) for x in want])
     if not len(want) or weights.sum() <= 0:
-        return spark.createDataFrame([], "shard long, slot long, source string, pass long, block long, doc_id long, begin long, end long")
+        none = spark.createDataFrame([], "shard long, slot long, source string, pass long, block long, doc_id long, begin long, end long")
+        return Mixture(none, sizes.select("source", F.lit(0).cast("long").alias("slots")), sizes)
     weights = weights / weights.sum()
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,8 +159,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
             yield pd.DataFrame(out, columns=["shard", "k", "n"])
 
     draws = spark.range(0, shards).mapInPandas(drawn, "shard long, k int, n long")
-    earlier = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    draws = draws.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    draws = _within(draws, "k", "shard", "n", "first")
+    names = F.create_map(*(x for k, (_, name, *_) in enumerate(want) for x in (F.lit(k), F.lit(name))))
+    asked = draws.groupBy(names[F.col("k")].alias("source")).agg(F.sum("n").alias("slots"))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,12 +181,23 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
 
     order = draws.select("shard", "k", "n", "first").mapInPandas(placed, "shard long, slot long, key string, source string, pass long, block long")
     joined = order.join(indexed.withColumnRenamed("key", "key_").withColumnRenamed("block", "block_"), (F.col("key") == F.col("key_")) & (F.col("block") == F.col("block_")))
-    return joined.select("shard", "slot", "source", "pass", "block", "doc_id", "begin", "end")
-
-
-def mixture_shares(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Per source of the mixture: target weight, size of all documents, tokens placed, share reached, and the passes used."""
-    got = mixed.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("end") - F.col("begin")).alias("tokens"), (F.max("pass") + 1).alias("passes"))
-    all_ = Window.partitionBy(F.lit(1))  # one row a source
-    out = sizes.join(got, F.col("source") == F.col("s"), "left").select("source", "weight", "max_repeats", "size", "total", "enough", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("passes", F.lit(0)).alias("passes"))
-    return out.withColumn("share", F.col("tokens") / F.sum("tokens").over(all_))
+    return Mixture(joined.select("shard", "slot", "source", "pass", "block", "doc_id", "begin", "end"), asked, sizes)
+
+
+def mixture_shares(m: Mixture) -> DataFrame:
+    """Per source of the mixture: target weight, size of all documents, slots drawn for it and those of them that texts fill,
+    tokens placed, share reached, and the passes used."""
+    filled = m.blocks.groupBy(F.col("source").alias("f"), "shard", "slot", F.col("pass").alias("turn")).agg(F.sum(F.col("end") - F.col("begin")).alias("tokens"))
+    got = filled.groupBy("f").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("filled"), (F.max("turn") + 1).alias("passes"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = m.asked.join(m.sizes.withColumnRenamed("source", "s"), F.col("source") == F.col("s")).join(got, F.col("source") == F.col("f"), "left")
+    out = out.select("source", "weight", "max_repeats", "size", "total", "enough", "slots", zero("filled"), zero("tokens"), zero("passes"))
+    return out.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))))  # one row a source
+
+
+def unfilled(m: Mixture) -> DataFrame:
+    """``source`` of those that cannot fill their share even at their cap: the mixture left slots drawn for them empty, or
+    placed less than their share, and, as the exact check (a draw may ask for more or less than the share), their size times
+    ``max_repeats`` is less than it."""
+    short = (F.col("filled") < F.col("slots")) | (F.col("tokens") < F.col("weight") * F.col("total"))
+    return mixture_shares(m).where(short & ~F.col("enough")).select("source")

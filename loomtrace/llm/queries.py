@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.codelang import language_shares, natural_language
 from loomtrace.llm.garbled import find_garbled, source_model
-from loomtrace.llm.mixing import mix, mixture_shares, source_sizes
+from loomtrace.llm.mixing import mixture, mixture_shares, unfilled
 from loomtrace.llm.packing import container_fill, pack, split_documents
 from loomtrace.llm.quality import non_prose, text_quality
 from loomtrace.llm.runs import collapse_runs
@@ -77,20 +77,14 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return container_fill(pack(load(spark, d, "documents"), targets), targets)
 
 
-def _shares(spark: SparkSession, d: str) -> DataFrame:
-    docs, targets = load(spark, d, "documents"), load(spark, d, "mix_targets")
-    return mixture_shares(mix(docs, targets), source_sizes(docs, targets))
-
-
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that cannot fill their share of the mixture even at their cap."""
-    # what the mixture left short, then the exact test: a draw may ask a source for a little less or more than its share
-    return _shares(spark, d).where("tokens < weight * total and not enough").select("source")
+    return unfilled(mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that the mixture reaches."""
-    return _shares(spark, d).drop("total")
+    return mixture_shares(mixture(load(spark, d, "documents"), load(spark, d, "mix_targets"))).drop("total")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

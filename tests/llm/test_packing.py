@@ -37,6 +37,8 @@ def test_pack(spark):
             assert total / (len(per) * cap) > (0.93 if shard > 1000 else 0.8)
         split = {(r["target_id"], r["doc_id"]) for r in packing.split_documents(got).collect()}
         assert split == {(n, i) for n, c in (("small", 1000), ("big", 5000)) for i, x, *_ in rows if i is not None and x and len(x.encode()) > c}
+    whole = {r["target_id"]: r for r in packing.container_fill(packing.pack(d, t), t).collect()}
+    assert all(r["containers"] <= 1.05 * r["bound"] + 1 for r in whole.values()) and whole["small"]["by_pattern"] > 0.3
     fill = {r["target_id"]: r for r in packing.container_fill(got, t).collect()}
     assert set(fill) == {"small", "big"} and fill["small"]["fullest"] <= 1000
     assert packing.pack(d.where("false"), t).count() == 0 and packing.pack(d, t.where("false")).count() == 0
@@ -74,10 +76,13 @@ def test_mix(spark):
             uses[(r["doc_id"], k)] = uses.get((r["doc_id"], k), 0) + 1
         assert r["pass"] < {"A": 2, "b_c": 1, "rare": 3}[r["source"]]
     assert max(uses.values()) <= 3 and max(n for (i, _), n in uses.items() if i == 900) == 3
-    shares = {r["source"]: r for r in mixing.mixture_shares(m, sizes).collect()}
+    whole = mixing.mixture(d, t, block=256)
+    shares = {r["source"]: r for r in mixing.mixture_shares(whole).collect()}
+    assert {r["source"] for r in mixing.unfilled(whole).collect()} == {k for k, r in got.items() if not r["enough"]} and shares["rare"]["filled"] < shares["rare"]["slots"]
     assert abs(shares["A"]["share"] / shares["b_c"]["share"] - 0.5 / 0.4) < 0.25 and shares["absent"]["tokens"] == 0
     assert sorted(map(tuple, mixing.mix(d, t, block=256).collect())) == sorted(map(tuple, m.collect()))
     assert mixing.mix(d.where("false"), t).count() == 0 and mixing.mix(d, t.where("false")).count() == 0
+    assert mixing.unfilled(mixing.mixture(d.where("false"), t)).count() == 0 and mixing.mixture_shares(mixing.mixture(d, t.where("false"))).count() == 0
 
 
 PROSE = "The timer wheel reads the table again from flash because the peer has not answered. A record that is idle must not hold any of the slots. "
