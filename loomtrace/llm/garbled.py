@@ -8,30 +8,33 @@ the hashes of visited texts, and ends when the frontier can't get cheaper. A rec
 that only a failed decoding leaves (U+FFFD, C1 controls, private use) or if a clearly cheaper, well-known text can be reached.
 
 The window counts are taken over all rows, and over distinct texts, in one pass (hashed into a table of fixed size, so that the model is bounded
-whatever the corpus); the search runs in Arrow batches, remembers texts that differ only in numbers, and sees only rows
-with a non-ASCII character.
+whatever the corpus). Texts with a non-ASCII character or an escape, lines of files by themselves, are reduced to their
+nucleus: what is left without plain words and numbers. The search runs in Arrow batches, once for each distinct nucleus of
+the corpus, however many texts share it; what it finds is joined back to the texts. Texts of any length are read in pieces of
+up to 2000 characters, cut at blanks.
 """
 
 from __future__ import annotations
 
 import heapq
 import html
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.session import cut
+
 BUCKETS = 1 << 21
 MARGIN = 3.0
 USUAL = 4e-5
 MAX_EXPANSIONS = 8
 SLACK = 3.0
 UTF8_BONUS = 6.0
-_CACHE = 200_000
-LONG = 4_000
 
 # fixed values: charsets a text may have been decoded with by mistake, and may really have been written in
 WRONG = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman", "cp932", "gb18030", "cp949", "iso8859_5")
@@ -42,7 +45,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _BROKEN = re.compile("[�\x80-\x9f-￰-￻\U000f0000-\U0010ffff]")
 _BROKEN_WORD = re.compile(r"\w\ufffd|\ufffd\w")
 _SURROGATE = re.compile("[\ud800-\udfff]")
-_PARTS = re.compile(r"(?s).{1,2000}(?:\s|\Z)|.{1,2000}")
+_PARTS = r"(?s)(.{1,2000}(?:\s|\z)|.{1,2000})"
 _MARKS = re.compile("\ufffd{2,}")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{4,8});")
 
@@ -400,17 +403,16 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
     return start, best[0], best[2], best[3], lost
 
 
-def nucleus(text: str) -> str:
-    """A text without what can't matter: numbers become 0, and ASCII words that are no neighbours of other words go.
+def nucleus(text: Column) -> Column:
+    """A text without what can't matter: numbers become 0, and ASCII words that are no neighbours of other words go. Texts
+    with escapes stay as they are.
 
     The same steps restore the nucleus and the text, and many texts share one.
     """
-    words = _DIGITS.sub("0", text).split(" ")
-    if len(words) < 4:
-        return " ".join(words)
-    plain = [_ASCII.match(w) is not None for w in words]
-    keep = [not plain[i] or (i > 0 and not plain[i - 1]) or (i + 1 < len(words) and not plain[i + 1]) for i in range(len(words))]
-    return " ".join(w for w, k in zip(words, keep) if k)
+    words = F.split(F.regexp_replace(text, "[0-9]+", "0"), " ")
+    odd = lambda w: F.coalesce(w.rlike(r"[^\x00-\x7f]"), F.lit(False))
+    near = F.filter(words, lambda w, i: odd(w) | odd(F.get(words, i - 1)) | odd(F.get(words, i + 1)))
+    return F.when(text.rlike(_ESCAPE.pattern), text).otherwise(F.array_join(F.when(F.size(words) < 4, words).otherwise(near), " "))
 
 
 def mended_words(text: str, model: Plausibility) -> tuple[float, str, tuple]:
@@ -473,53 +475,39 @@ def _judged(text: str, model: Plausibility, escaped: bool, strict: bool) -> tupl
     return found, (new if better else None), path if better else ()
 
 
-def _judge(model: Plausibility, column: str, key: str, lines: bool):
-    seen: dict[tuple[str, bool], tuple[bool, tuple]] = {}
-
-    def one(text: str) -> tuple[bool, str | None]:
-        if len(text) > LONG:  # a long text is judged in parts, cut at blanks where it has any
-            got = [(one(x), x) for x in _PARTS.findall(text)]
-            fixed = any(new is not None for (_, new), _ in got)
-            return any(g for (g, _), _ in got), "".join(x if new is None else new for (_, new), x in got) if fixed else None
-        said = readable(text)
-        escaped, text = said != text, said
-        if _ASCII.match(text):
-            return False, None
-        k = text if escaped or _ESCAPE.search(text) else nucleus(text)
-        if (k, escaped) not in seen:
-            if len(seen) >= _CACHE:
-                seen.clear()
-            g, _, path = judged(k, model, escaped)
-            seen[k, escaped] = (g, path)
-        g, path = seen[k, escaped]
-        if not path:
-            return g, None
-        for a, b in path:
-            if a == "words":
-                swap = dict(b)
-                text = " ".join(swap.get(w, w) for w in text.split(" "))
-                continue
-            text = unescaped(text) if a == "unescape" else (_step(_encoded(text, a), b, a) or text)
-        return g, text
+def _judge(model: Plausibility):
+    """Nuclei to those that are garbled, with the steps that restore them."""
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, text in zip(pdf[key], pdf[column]):
-                if lines:
-                    parts = [(one(x) if not _ASCII.match(x) or _ESCAPE.search(x) else (False, None), x) for x in text.split("\n")]
-                    if any(g for (g, _), _ in parts):
-                        fixed = any(new is not None for (_, new), _ in parts)
-                        out.append((k, "\n".join(x if new is None else new for (_, new), x in parts) if fixed else None))
-                else:
-                    g, new = one(text)
-                    if g:
-                        out.append((k, new))
-            yield pd.DataFrame(out, columns=["record_key", "restored"])
+            for n in pdf["nucleus"]:
+                if not _ASCII.match(readable(n)):
+                    found, _, path = judged(n, model)
+                    if found:
+                        out.append((n, json.dumps(path) if path else None))
+            yield pd.DataFrame(out, columns=["n", "path"])
 
     return over
 
 
+def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of text with the steps that restore them, restored."""
+
+    def one(text: str, path: str) -> str:
+        text = readable(text)
+        for a, b in json.loads(path):
+            if a == "words":
+                swap = dict(map(tuple, b))
+                text = " ".join(swap.get(w, w) for w in text.split(" "))
+            else:
+                text = unescaped(text) if a == "unescape" else (_step(_encoded(text, a), b, a) or text)
+        return text
+
+    for pdf in batches:
+        yield pdf[["k", "h", "i", "j"]].assign(new=[one(t, p) for t, p in zip(pdf["t"], pdf["path"])])
+
+
 def _unusual(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).rlike(r"[^\x00-\x7f]|&#?[0-9A-Za-z]{2,8};|\\u[0-9a-fA-F]{4}"))
 
@@ -550,14 +538,38 @@ def find_garbled(spark: SparkSession, tables: list[Table], model: Plausibility |
     """Garbled records of several tables: ``table_name, record_key, restored``, each record once.
 
     ``tables``: (name, DataFrame, key column, text column, whether to judge each line by itself). Null and empty texts and
-    null keys are never garbled; very long texts are read whole; repeated rows count once if their texts agree (with
+    null keys are never garbled; texts of any length are read whole, in pieces; repeated rows count once if their texts agree (with
     different texts under one key, any garbled one counts, and the smallest restoration is given). ``restored`` is null
     where the characters do not allow a restoration. Without a model, the counts are taken over all the given texts.
     """
     model = model or source_model(tables)
-    out = None
+    c = F.col
+    units = None
+    texts = []
     for n, df, lines in _texts(tables):
-        found = _unusual(df, "t").mapInPandas(_judge(model, "t", "k", lines), "record_key string, restored string")
-        found = found.groupBy("record_key").agg(F.min("restored").alias("restored")).select(F.lit(n).alias("table_name"), "record_key", "restored")
+        rows = df.withColumn("h", F.xxhash64("t"))
+        texts.append((n, rows, lines))
+        part = rows.select("k", "h", F.posexplode(F.split("t", "\n")).alias("i", "t")) if lines else rows.select("k", "h", F.lit(0).alias("i"), "t")
+        cuts = F.when(F.length("t") <= 2000, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(_PARTS), F.lit(1)))
+        part = _unusual(part, "t").select(F.lit(n).alias("name"), "k", "h", "i", F.posexplode(cuts).alias("j", "t"))
+        units = part if units is None else units.unionByName(part)
+    units = _unusual(units, "t").withColumn("nucleus", nucleus(c("t")))
+    # few small rows, dear to judge: as many tasks as Spark is set to use, whatever their size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    garbled = cut(units.select("nucleus").distinct().repartition(tasks, "nucleus").mapInPandas(_judge(model), "n string, path string"))
+    bad = units.join(garbled, c("nucleus") == c("n"))
+    out = None
+    for n, rows, lines in texts:
+        mine = bad.where(c("name") == n)
+        found = mine.select(c("k").alias("record_key")).distinct()
+        new = mine.where("path is not null").select("k", "h", "i", "j", "t", "path").mapInPandas(_restored, "k string, h long, i int, j int, new string")
+        # the restored pieces of a record, of each of its texts if it comes with several
+        per = new.groupBy(c("k").alias("fk"), c("h").alias("fh")).agg(F.map_from_entries(F.collect_set(F.struct(F.struct("i", "j"), "new"))).alias("by"))
+        fixed = rows.dropDuplicates(["k", "h"]).join(per, (c("k") == c("fk")) & (c("h") == c("fh")))
+        cuts = lambda x: F.when(F.length(x) <= 2000, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(_PARTS), F.lit(1)))
+        mend = lambda x, i: F.array_join(F.transform(cuts(x), lambda y, j: F.coalesce(F.element_at("by", F.struct(i.alias("i"), j.alias("j"))), y)), "")
+        whole = F.array_join(F.transform(F.split("t", "\n"), lambda x, i: mend(x, i)), "\n") if lines else mend(c("t"), F.lit(0))
+        fixed = fixed.select("fk", whole.alias("restored")).groupBy("fk").agg(F.min("restored").alias("restored"))
+        found = found.join(fixed, c("record_key") == c("fk"), "left").select(F.lit(n).alias("table_name"), "record_key", "restored")
         out = found if out is None else out.unionByName(found)
     return out

@@ -13,7 +13,7 @@ from loomtrace.llm.mixing import mixture, mixture_shares, unfilled
 from loomtrace.llm.packing import container_fill, pack, split_documents
 from loomtrace.llm.quality import non_prose, text_quality
 from loomtrace.llm.runs import collapse_runs
-from loomtrace.session import load
+from loomtrace.session import cut, load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,8 @@ def _sound_files(spark: SparkSession, d: str) -> DataFrame:
     """Source files in which p2 finds no wrong decoding."""
     files = load(spark, d, "source_files")
     bad = find_garbled(spark, [FILES(files)], source_model([LOGS(load(spark, d, "log_entries")), FILES(files)]))
-    return files.join(bad.select(F.col("record_key").alias("bad")), F.col("path") == F.col("bad"), "left_anti")
+    bad = cut(bad.select(F.col("record_key").alias("bad")))  # the sound files are read twice
+    return files.join(bad, F.col("path") == F.col("bad"), "left_anti")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
