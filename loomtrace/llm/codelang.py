@@ -37,11 +37,9 @@ _SIMPLE = {"n": "\n", "t": "\t", "r": " ", "v": " ", "f": " ", "a": " ", "b": "
 _TAG = re.compile(r"[@\\](?:brief|param|return|returns|note|todo|file|see|author|date|warning|details|since|deprecated)\b(?:\s*\[[a-z,]*\])?", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _SCRIPT = re.compile("(?P<cjk>[぀-ヿ㐀-鿿豈-﫿々〆]+)|(?P<ko>[가-힣]+)|(?P<ru>[Ѐ-ӿ]+)|(?P<latin>[A-Za-zÀ-ɏ]+)")
-_SIGNS = re.compile(r"[=;{}\[\]<>&|+*^~]")
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’\-][A-Za-zÀ-ɏ]+)*[.,;:!?)\"”»…]*\Z")
 _OTHER_WORD = re.compile("[Ѐ-ӿ가-힣]")
 _HAN_KANA = re.compile("[぀-ヿ㐀-鿿々〆]")
-_KANA = re.compile("[぀-ヿ]")
 
 
 def pieces(content: str) -> list[tuple[int, str, str, int, int]]:
@@ -141,8 +139,6 @@ def _joined(runs: list[tuple[str, str]]) -> list[tuple[str, str]]:
             if _long(script, t):
                 whole.append(f"{first} {t}" if first else t)
                 first = ""
-            elif _dense(script, t):
-                continue
             elif whole:
                 whole[-1] += " " + t
             else:
@@ -151,17 +147,10 @@ def _joined(runs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def _dense(script: str, text: str) -> bool:
-    """Signs of code as thick as words."""
-    return script == "latin" and len(_SIGNS.findall(text)) >= max(3, len(text.split()) // 2)
-
-
 def _long(script: str, text: str) -> bool:
     if script == "cjk":
         return len(_HAN_KANA.findall(text)) >= MIN_CHARS
     if script == "latin":
-        if _dense(script, text):
-            return False
         return sum(1 for w in text.split() if _LATIN_WORD.match(w.lstrip("(\"'“«¿¡"))) >= MIN_WORDS
     return sum(1 for w in text.split() if _OTHER_WORD.search(w)) >= MIN_WORDS
 
@@ -170,9 +159,6 @@ def _counts(line: str) -> bool:
     return any(_long(k, line) for k in ("latin", "cjk", "ru"))
 
 
-_ALLOWED = {"latin": ("en", "de", "fr", "es", "pt", "code"), "ru": ("ru",), "ko": ("ko",), "cjk": ("ja", "zh")}
-
-
 class LanguageModel:
     """Log probabilities of subwords by class, and the class with the largest posterior for a text."""
 
@@ -186,18 +172,13 @@ class LanguageModel:
         self.prior = np.log(prior / prior.sum())
 
     def classes(self, items: list[tuple[str, str]]) -> list[str]:
-        """The class of each (script, text)."""
+        """The class of each (script, text): of all classes, whatever the script, the one with the largest posterior."""
         if not items:
             return []
         enc = encoder(self.folder, self.name)
         out = []
-        for (script, text), ids in zip(items, enc.encode_ordinary_batch([" " + t for _, t in items], num_threads=1)):
-            score = self.logp[:, ids].sum(axis=1) + self.prior
-            if script == "cjk" and _KANA.search(text):
-                out.append("ja")
-                continue
-            allowed = _ALLOWED[script]
-            out.append(max(allowed, key=lambda c: score[CLASSES.index(c)]))
+        for ids in enc.encode_ordinary_batch([" " + t for _, t in items], num_threads=1):
+            out.append(CLASSES[int((self.logp[:, ids].sum(axis=1) + self.prior).argmax())])
         return out
 
 

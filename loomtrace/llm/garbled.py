@@ -8,33 +8,31 @@ the hashes of visited texts, and ends when the frontier can't get cheaper. A rec
 that only a failed decoding leaves (U+FFFD, C1 controls, private use) or if a clearly cheaper, well-known text can be reached.
 
 The window counts are taken over all rows, and over distinct texts, in one pass (hashed into a table of fixed size, so that the model is bounded
-whatever the corpus). Texts with a non-ASCII character or an escape, lines of files by themselves, are reduced to their
-nucleus: what is left without plain words and numbers. The search runs in Arrow batches, once for each distinct nucleus of
-the corpus, however many texts share it; what it finds is joined back to the texts. Texts of any length are read in pieces of
-up to 2000 characters, cut at blanks.
+whatever the corpus); the search runs in Arrow batches, remembers texts that differ only in plain words and numbers, and
+sees only rows with a non-ASCII character or an escape. Texts of any length are searched in pieces of up to 2000 characters,
+cut at blanks.
 """
 
 from __future__ import annotations
 
 import heapq
 import html
-import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.session import cut
-
 BUCKETS = 1 << 21
 MARGIN = 3.0
 USUAL = 4e-5
 MAX_EXPANSIONS = 8
 SLACK = 3.0
 UTF8_BONUS = 6.0
+_CACHE = 200_000
 
 # fixed values: charsets a text may have been decoded with by mistake, and may really have been written in
 WRONG = ("latin_1", "cp1252", "cp1251", "koi8_r", "cp866", "cp437", "cp850", "mac_roman", "cp932", "gb18030", "cp949", "iso8859_5")
@@ -45,7 +43,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _BROKEN = re.compile("[�\x80-\x9f-￰-￻\U000f0000-\U0010ffff]")
 _BROKEN_WORD = re.compile(r"\w\ufffd|\ufffd\w")
 _SURROGATE = re.compile("[\ud800-\udfff]")
-_PARTS = r"(?s)(.{1,2000}(?:\s|\z)|.{1,2000})"
+_PARTS = re.compile(r"(?s).{1,2000}(?:\s|\Z)|.{1,2000}")
 _MARKS = re.compile("\ufffd{2,}")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{4,8});")
 
@@ -254,6 +252,7 @@ _DOWN = {x: down for x, (down, _) in _SINGLE.items()}
 _UP = {x: up for x, (_, up) in _SINGLE.items()}
 
 
+@lru_cache(1 << 16)
 def _decoded(raw: bytes, charset: str) -> str | None:
     if charset in _UP:
         return raw.decode("latin_1").translate(_TO[charset])
@@ -281,6 +280,7 @@ _TRACE = _traces()
 # UTF-8 of which bytes were lost as "?", with the sequences that are whole, and losses between letters
 _LOST = rb"[\xc2-\xdf]\?|[\xe0-\xef](?:\?[\x80-\xbf?]|[\x80-\xbf]\?)"
 _WHOLE = rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}"
+_SEQUENCES = re.compile(_WHOLE)
 _LOSSY = re.compile(rb"(?s)(?:[\x00-\x7f]|" + _WHOLE + b"|" + _LOST + rb")*\Z")
 _SEQUENCE = re.compile(b"(" + _WHOLE + b")|(?:" + _LOST + b")")
 _BETWEEN = re.compile(rb"[A-Za-z](?:" + _LOST + rb")[a-z]")
@@ -301,6 +301,11 @@ def lossy_utf8(text: str) -> bool:
 _TO = {x: {b: ch for b, ch in enumerate(up) if ord(ch) != b} for x, up in _UP.items()}
 
 
+@lru_cache(1 << 16)
+def _width(char: str, charset: str) -> int:
+    return len(char.encode(charset))
+
+
 def _ending(word: str, raw: bytes, charset: str) -> str:
     """A word whose beginning is clean: its longest ending that is UTF-8 read anew, else the word as it is."""
     if charset == "utf_8" and len(word) == len(raw):
@@ -315,7 +320,7 @@ def _step(pieces: list[tuple[str, bytes | None]], charset: str, wrong: str = "")
     suffixes = wrong if wrong not in _SINGLE and charset not in _SINGLE else ""
     out, changed = [], False
     for text, raw in pieces:
-        if raw is None or _ASCII.match(text):
+        if raw is None or _ASCII.match(text) or charset == "utf_8" and not _SEQUENCES.search(raw):
             out.append(text)
             continue
         # leading ASCII stays: multi-byte charsets would read on from any byte of it alike
@@ -328,8 +333,10 @@ def _step(pieces: list[tuple[str, bytes | None]], charset: str, wrong: str = "")
                 new = " ".join(news)
         if new is None and suffixes:
             # a clean beginning that the charset can write as well: the longest ending that can be read
+            at = 0
             for i in range(1, len(text)):
-                if text[i] > "\x7f" and (end := _decoded(text[i:].encode(suffixes), charset)) is not None:
+                at += _width(text[i - 1], suffixes)
+                if text[i] > "\x7f" and (end := _decoded(raw[at:], charset)) is not None:
                     new = text[:i] + end
                     break
         if new is None:
@@ -339,6 +346,19 @@ def _step(pieces: list[tuple[str, bytes | None]], charset: str, wrong: str = "")
     return _MARKS.sub("\ufffd", "".join(out)) if changed else None
 
 
+_SWAP = {
+    (a, b): {o: _UP[b][_DOWN[a].get(o, o)] for o in map(ord, _UP[a]) if _UP[b][_DOWN[a].get(o, o)] != chr(o)} for a in WRONG if a in _SINGLE for b in TRUE if b in _SINGLE and a != b
+}
+# successors in the order in which they are made: bytes that are UTF-8 are no accident, then single-byte charsets, then the others
+_STAGES = (("utf_8",), tuple(x for x in TRUE if x in _SINGLE), tuple(x for x in TRUE if x not in _SINGLE and x != "utf_8"))
+
+
+def _swapped(text: str, wrong: str, true: str) -> str | None:
+    """``_step`` between single-byte charsets: every character by itself."""
+    new = text.translate(_SWAP[wrong, true])
+    return None if new == text else _MARKS.sub("\ufffd", new) if "\ufffd" in new else new
+
+
 def unescaped(text: str) -> str:
     """HTML references and \\uXXXX resolved; halves of surrogate pairs stay as they are written."""
     out = _ESCAPE.sub(lambda m: chr(int(m.group()[2:], 16)) if m.group()[0] == "\\" else html.unescape(m.group()), text)
@@ -356,7 +376,8 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
     """Best-first search from a text: its own cost, the cheapest cost reached, that text, the steps to it, and whether
     whole bytes led to U+FFFD, so that characters were lost before.
 
-    Every step costs 1, so that a text is changed only for a gain. Ties go to fewer steps.
+    Every step costs 1, so that a text is changed only for a gain. Ties go to fewer steps. A text's successors are made in
+    stages, and the search ends at the first that gives a text without rare windows for a gain of ``MARGIN``.
     """
     framed = folded(text)
     start = model.cost(framed)
@@ -372,47 +393,53 @@ def search(text: str, model: Plausibility, max_expansions: int = MAX_EXPANSIONS)
         if depth >= 3:
             continue
         marred = _BROKEN.search(now) is not None
-        nexts: dict[str, tuple] = {}
-        if _ESCAPE.search(now):
-            nexts[unescaped(now)] = ("unescape", "")
-        written = set()
+        by_wrong = {}
         for wrong in WRONG:
             pieces = _encoded(now, wrong)
-            if all(raw is None or _ASCII.match(t) for t, raw in pieces) or (key := tuple(raw for _, raw in pieces)) in written:
-                continue
-            written.add(key)
-            for true in TRUE:
-                if true != wrong and (new := _step(pieces, true, wrong)) is not None and new not in visited:
-                    if not marred and _BROKEN.search(new):
-                        if true != "utf_8":
-                            continue
-                        # no accident: what had been lost, or C1 controls that another step may read
-                        lost |= "\ufffd" in new
-                    nexts.setdefault(new, (wrong, true))
-        visited.update(nexts)
-        for (new, step), c in zip(nexts.items(), model.all_costs(list(nexts)) + depth + 1 if nexts else ()):
-            c = float(c)
-            if c < best[0] and (damaged or not _BROKEN.search(new)):
-                best = (c, depth + 1, new, (*path, step))
-            if c < start + SLACK:
-                # bytes that happen to be UTF-8 throughout are no accident: such texts are looked at first
-                sure = UTF8_BONUS * sum(ch > "\x7f" for ch in new) if step[1] == "utf_8" and "\ufffd" not in new else 0
-                heapq.heappush(heap, (c - sure, c, depth + 1, new, (*path, step)))
-        if best[1] and not model.suspicious(folded(best[2])):
-            break
+            if any(raw is not None and not _ASCII.match(t) for t, raw in pieces):
+                by_wrong.setdefault(tuple(raw for _, raw in pieces), (wrong, pieces))
+        for stage, trues in enumerate(_STAGES):
+            nexts: dict[str, tuple] = {}
+            if stage == 0 and _ESCAPE.search(now):
+                nexts[unescaped(now)] = ("unescape", "")
+            for wrong, pieces in by_wrong.values():
+                for true in trues:
+                    if true == wrong:
+                        continue
+                    new = _swapped(now, wrong, true) if (wrong, true) in _SWAP else _step(pieces, true, wrong)
+                    if new is not None and new not in visited:
+                        if not marred and _BROKEN.search(new):
+                            if true != "utf_8":
+                                continue
+                            # no accident: what had been lost, or C1 controls that another step may read
+                            lost |= "\ufffd" in new
+                        nexts.setdefault(new, (wrong, true))
+            visited.update(nexts)
+            for (new, step), c in zip(nexts.items(), model.all_costs(list(nexts)) + depth + 1 if nexts else ()):
+                c = float(c)
+                if c < best[0] and (damaged or not _BROKEN.search(new)):
+                    best = (c, depth + 1, new, (*path, step))
+                if c < start + SLACK:
+                    # such texts are looked at first
+                    sure = UTF8_BONUS * sum(ch > "\x7f" for ch in new) if step[1] == "utf_8" and "\ufffd" not in new else 0
+                    heapq.heappush(heap, (c - sure, c, depth + 1, new, (*path, step)))
+            # well-known text for a clear gain: no need to make the other successors
+            if best[1] and start - best[0] >= MARGIN and not model.suspicious(folded(best[2])):
+                return start, best[0], best[2], best[3], lost
     return start, best[0], best[2], best[3], lost
 
 
-def nucleus(text: Column) -> Column:
-    """A text without what can't matter: numbers become 0, and ASCII words that are no neighbours of other words go. Texts
-    with escapes stay as they are.
+def nucleus(text: str) -> str:
+    """A text without what can't matter: numbers become 0, and ASCII words that are no neighbours of other words go.
 
     The same steps restore the nucleus and the text, and many texts share one.
     """
-    words = F.split(F.regexp_replace(text, "[0-9]+", "0"), " ")
-    odd = lambda w: F.coalesce(w.rlike(r"[^\x00-\x7f]"), F.lit(False))
-    near = F.filter(words, lambda w, i: odd(w) | odd(F.get(words, i - 1)) | odd(F.get(words, i + 1)))
-    return F.when(text.rlike(_ESCAPE.pattern), text).otherwise(F.array_join(F.when(F.size(words) < 4, words).otherwise(near), " "))
+    words = _DIGITS.sub("0", text).split(" ")
+    if len(words) < 4:
+        return " ".join(words)
+    plain = [_ASCII.match(w) is not None for w in words]
+    keep = [not plain[i] or (i > 0 and not plain[i - 1]) or (i + 1 < len(words) and not plain[i + 1]) for i in range(len(words))]
+    return " ".join(w for w, k in zip(words, keep) if k)
 
 
 def mended_words(text: str, model: Plausibility) -> tuple[float, str, tuple]:
@@ -431,7 +458,7 @@ def mended_words(text: str, model: Plausibility) -> tuple[float, str, tuple]:
         for true in TRUE:
             if true not in _SINGLE or true == wrong:
                 continue
-            new = [_step(_encoded(words[i], wrong), true) or words[i] for i in odd]
+            new = [_swapped(words[i], wrong, true) or words[i] for i in odd]
             swap = {i: n for i, n, a, b in zip(odd, new, old, model.all_costs([f" {n} " for n in new])) if b < a - 1}
             if swap:
                 out = " ".join(swap.get(i, w) for i, w in enumerate(words))
@@ -475,39 +502,57 @@ def _judged(text: str, model: Plausibility, escaped: bool, strict: bool) -> tupl
     return found, (new if better else None), path if better else ()
 
 
-def _judge(model: Plausibility):
-    """Nuclei to those that are garbled, with the steps that restore them."""
+def _judge(model: Plausibility, column: str, key: str, lines: bool):
+    seen: dict[tuple[str, bool], tuple[bool, tuple]] = {}
+
+    def whole(text: str) -> tuple[bool, str | None]:
+        parts = _PARTS.findall(text)
+        if len(parts) == 1:
+            return one(text)
+        got = [one(x) for x in parts]
+        fixed = any(new is not None for _, new in got)
+        return any(g for g, _ in got), "".join(x if new is None else new for (_, new), x in zip(got, parts)) if fixed else None
+
+    def one(text: str) -> tuple[bool, str | None]:
+        said = readable(text)
+        escaped, text = said != text, said
+        if _ASCII.match(text):
+            return False, None
+        k = text if escaped or _ESCAPE.search(text) else nucleus(text)
+        if (k, escaped) not in seen:
+            if len(seen) >= _CACHE:
+                seen.clear()
+            g, _, path = judged(k, model, escaped)
+            seen[k, escaped] = (g, path)
+        g, path = seen[k, escaped]
+        if not path:
+            return g, None
+        for a, b in path:
+            if a == "words":
+                swap = dict(b)
+                text = " ".join(swap.get(w, w) for w in text.split(" "))
+                continue
+            text = unescaped(text) if a == "unescape" else (_step(_encoded(text, a), b, a) or text)
+        return g, text
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for n in pdf["nucleus"]:
-                if not _ASCII.match(readable(n)):
-                    found, _, path = judged(n, model)
-                    if found:
-                        out.append((n, json.dumps(path) if path else None))
-            yield pd.DataFrame(out, columns=["n", "path"])
+            for k, text in zip(pdf[key], pdf[column]):
+                if lines:
+                    parts = [(whole(x) if not _ASCII.match(x) or _ESCAPE.search(x) else (False, None), x) for x in text.split("\n")]
+                    if any(g for (g, _), _ in parts):
+                        fixed = any(new is not None for (_, new), _ in parts)
+                        out.append((k, "\n".join(x if new is None else new for (_, new), x in parts) if fixed else None))
+                else:
+                    g, new = whole(text)
+                    if g:
+                        out.append((k, new))
+            yield pd.DataFrame(out, columns=["record_key", "restored"])
 
     return over
 
 
-def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces of text with the steps that restore them, restored."""
-
-    def one(text: str, path: str) -> str:
-        text = readable(text)
-        for a, b in json.loads(path):
-            if a == "words":
-                swap = dict(map(tuple, b))
-                text = " ".join(swap.get(w, w) for w in text.split(" "))
-            else:
-                text = unescaped(text) if a == "unescape" else (_step(_encoded(text, a), b, a) or text)
-        return text
-
-    for pdf in batches:
-        yield pdf[["k", "h", "i", "j"]].assign(new=[one(t, p) for t, p in zip(pdf["t"], pdf["path"])])
-
-
 def _unusual(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).rlike(r"[^\x00-\x7f]|&#?[0-9A-Za-z]{2,8};|\\u[0-9a-fA-F]{4}"))
 
@@ -543,33 +588,9 @@ def find_garbled(spark: SparkSession, tables: list[Table], model: Plausibility |
     where the characters do not allow a restoration. Without a model, the counts are taken over all the given texts.
     """
     model = model or source_model(tables)
-    c = F.col
-    units = None
-    texts = []
-    for n, df, lines in _texts(tables):
-        rows = df.withColumn("h", F.xxhash64("t"))
-        texts.append((n, rows, lines))
-        part = rows.select("k", "h", F.posexplode(F.split("t", "\n")).alias("i", "t")) if lines else rows.select("k", "h", F.lit(0).alias("i"), "t")
-        cuts = F.when(F.length("t") <= 2000, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(_PARTS), F.lit(1)))
-        part = _unusual(part, "t").select(F.lit(n).alias("name"), "k", "h", "i", F.posexplode(cuts).alias("j", "t"))
-        units = part if units is None else units.unionByName(part)
-    units = _unusual(units, "t").withColumn("nucleus", nucleus(c("t")))
-    # few small rows, dear to judge: as many tasks as Spark is set to use, whatever their size
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    garbled = cut(units.select("nucleus").distinct().repartition(tasks, "nucleus").mapInPandas(_judge(model), "n string, path string"))
-    bad = units.join(garbled, c("nucleus") == c("n"))
     out = None
-    for n, rows, lines in texts:
-        mine = bad.where(c("name") == n)
-        found = mine.select(c("k").alias("record_key")).distinct()
-        new = mine.where("path is not null").select("k", "h", "i", "j", "t", "path").mapInPandas(_restored, "k string, h long, i int, j int, new string")
-        # the restored pieces of a record, of each of its texts if it comes with several
-        per = new.groupBy(c("k").alias("fk"), c("h").alias("fh")).agg(F.map_from_entries(F.collect_set(F.struct(F.struct("i", "j"), "new"))).alias("by"))
-        fixed = rows.dropDuplicates(["k", "h"]).join(per, (c("k") == c("fk")) & (c("h") == c("fh")))
-        cuts = lambda x: F.when(F.length(x) <= 2000, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(_PARTS), F.lit(1)))
-        mend = lambda x, i: F.array_join(F.transform(cuts(x), lambda y, j: F.coalesce(F.element_at("by", F.struct(i.alias("i"), j.alias("j"))), y)), "")
-        whole = F.array_join(F.transform(F.split("t", "\n"), lambda x, i: mend(x, i)), "\n") if lines else mend(c("t"), F.lit(0))
-        fixed = fixed.select("fk", whole.alias("restored")).groupBy("fk").agg(F.min("restored").alias("restored"))
-        found = found.join(fixed, c("record_key") == c("fk"), "left").select(F.lit(n).alias("table_name"), "record_key", "restored")
+    for n, df, lines in _texts(tables):
+        found = _unusual(df, "t").mapInPandas(_judge(model, "t", "k", lines), "record_key string, restored string")
+        found = found.groupBy("record_key").agg(F.min("restored").alias("restored")).select(F.lit(n).alias("table_name"), "record_key", "restored")
         out = found if out is None else out.unionByName(found)
     return out
