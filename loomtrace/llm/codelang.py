@@ -23,6 +23,7 @@ LANGS = ("en", "de", "fr", "es", "pt", "ru", "ja", "zh", "ko")
 CLASSES = (*LANGS, "code")
 CODE_PRIOR = 0.3
 SMOOTHING = 0.1
+SHARED = 0.1  # the share of the counts of all classes in each class's
 MIN_WORDS = 4
 MIN_CHARS = 8
 
@@ -163,9 +164,10 @@ class LanguageModel:
     """Log probabilities of subwords by class, and the class with the largest posterior for a text."""
 
     def __init__(self, counts: np.ndarray, folder: str, name: str):
-        total = counts.sum(axis=1, keepdims=True)
-        v = counts.shape[1]
-        self.logp = np.log((counts + SMOOTHING) / (total + SMOOTHING * v)).astype(np.float32)
+        # mixed with the counts of all classes, so that a subword that a class lacks costs all classes the same, however much they hold
+        every = counts.sum(axis=0) + SMOOTHING
+        own = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        self.logp = np.log((1 - SHARED) * own + SHARED * every / every.sum()).astype(np.float32)
         self.folder, self.name = folder, name
         prior = np.ones(len(CLASSES))
         prior[CLASSES.index("code")] = CODE_PRIOR
@@ -177,7 +179,7 @@ class LanguageModel:
             return []
         enc = encoder(self.folder, self.name)
         out = []
-        for ids in enc.encode_ordinary_batch([" " + t for _, t in items], num_threads=1):
+        for ids in enc.encode_ordinary_batch([" " + (t.lower() if t.isupper() else t) for _, t in items], num_threads=1):  # capitals are rare in all classes
             out.append(CLASSES[int((self.logp[:, ids].sum(axis=1) + self.prior).argmax())])
         return out
 
