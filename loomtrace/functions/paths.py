@@ -130,6 +130,25 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first_off == 0, F.size(pairs)).otherwise((first_off - 1).cast("int"))
 
 
+def prefixes(path: Column) -> Column:
+    """ARRAY<STRING>: a path's leading components, none first, the whole path last; two paths share as many as their
+    longest common one has."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n), F.lit("")))
+
+
+def nearest(asked: DataFrame, candidates: DataFrame, order: list[str]) -> DataFrame:
+    """``key, path, best``: for each distinct (key, path) the candidate of the key whose path shares most leading components,
+    of those the first by ``order`` (STRUCT of the order columns). Candidates are reduced to one per key and common beginning
+    before they meet what is asked, so that a name that stands in every file costs no more than others."""
+    c = F.col
+    known = candidates.select("key", F.explode(prefixes(c("path"))).alias("prefix"), F.struct(*order).alias("one")).groupBy("key", "prefix").agg(F.min("one").alias("best"))
+    known = known.withColumnsRenamed({"key": "k_key", "prefix": "k_prefix"})
+    wanted = asked.select("key", "path").distinct().select("key", "path", F.posexplode(prefixes(c("path"))).alias("shared", "prefix"))
+    hit = wanted.join(known, (c("key") == c("k_key")) & (c("prefix") == c("k_prefix")))
+    return hit.groupBy("key", "path").agg(F.max_by("best", "shared").alias("best"))
+
+
 def short_name(name: Column) -> Column:
     """A name behind its last ``::``."""
     return F.element_at(F.split(name, "::"), -1)

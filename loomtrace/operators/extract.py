@@ -162,14 +162,13 @@ def functions(s: DataFrame) -> DataFrame:
     lead = r"^([^=\[\]()]*?)(" + _IDENT + r") \("
     opens = opens.withColumn("name", F.regexp_extract("head", lead, 2)).withColumn("is_static", F.regexp_extract("head", lead, 1).rlike(r"\bstatic\b"))
     opens = opens.withColumn("params", F.trim(F.regexp_replace(F.regexp_extract("head", lead + r"((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", 3), r"\s+", " ")))
-    # the classes around: blocks of classes that are open at the place
-    levels = s.where("tok in ('{', '}') and kind = 'class'").select("path", "i", "level", "tok", "head")
-    ends = Window.partitionBy("path", "level").orderBy("i")
-    classes = levels.withColumn("close", F.lead("i").over(ends)).where("tok = '{'")
+    # the classes around: of each level of braces the block opened last, where it is a class's
     cname = r"(?:class|struct|union) (?:[A-Z_]+_API )*([A-Za-z_]\w*)(?: final)?(?: : .*)?$"
-    classes = classes.select(c("path").alias("c_path"), c("i").alias("c_i"), F.coalesce("close", F.lit(1 << 30)).alias("close"), F.regexp_extract("head", cname, 1).alias("cls"))
-    around = opens.join(classes, (c("path") == c("c_path")) & (c("i") > c("c_i")) & (c("i") < c("close"))).groupBy("path", "fi").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_i", "cls"))), lambda x: x["cls"]), "::").alias("prefix")
+    blocks = s.where("tok = '{'").select("path", "level", "i", F.lit(None).cast("int").alias("fi"), F.struct(c("i").alias("at"), F.when(c("kind") == "class", F.regexp_extract("head", cname, 1)).alias("cls")).alias("block"))
+    asked = opens.where("after > 1").select("path", F.explode(F.sequence(F.lit(1), c("after") - 1)).alias("level"), "i", "fi", F.lit(None).cast("struct<at:int,cls:string>").alias("block"))
+    by_level = Window.partitionBy("path", "level").orderBy("i")
+    around = blocks.unionByName(asked).withColumn("block", F.last("block", ignorenulls=True).over(by_level)).where("fi is not null and block.cls is not null").groupBy("path", "fi").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("block")), lambda x: x["cls"]), "::").alias("prefix")
     )
     around = around.select(c("path").alias("a_path"), c("fi").alias("a_fi"), "prefix")
     # the name's last place in the header, and the block's end
@@ -177,8 +176,11 @@ def functions(s: DataFrame) -> DataFrame:
     bare = lambda x: F.regexp_replace(short_name(x), "^~", "")
     first = opens.join(named, (c("path") == c("n_path")) & (c("stmt") == c("n_stmt")) & (bare(c("n_tok")) == bare(c("name"))) & (c("n_i") < c("i")))
     first = first.groupBy(c("path").alias("f_path"), c("fi").alias("f_fi")).agg(F.max("n_line").alias("start_line"))
-    shut = s.where("tok = '}' and closed = 0 and kind not in ('ns', 'class')").select(c("path").alias("e_path"), c("i").alias("e_i"), c("line").alias("e_line"))
-    last = opens.join(shut, (c("path") == c("e_path")) & (c("e_i") > c("i"))).groupBy(c("path").alias("l_path"), c("fi").alias("l_fi")).agg(F.min_by("e_line", "e_i").alias("end_line"))
+    # the first closing brace behind an opening one, read backwards
+    shut = s.where("tok = '}' and closed = 0 and kind not in ('ns', 'class')").select("path", F.lit(None).cast("int").alias("fi"), "i", c("line").alias("e_line"))
+    back = Window.partitionBy("path").orderBy(F.desc("i"))
+    both = shut.unionByName(opens.select("path", "fi", "i", F.lit(None).cast("int").alias("e_line")))
+    last = both.withColumn("end_line", F.last("e_line", ignorenulls=True).over(back)).where("fi is not null").select(c("path").alias("l_path"), c("fi").alias("l_fi"), "end_line")
     out = opens.join(around, (c("path") == c("a_path")) & (c("fi") == c("a_fi")), "left").join(first, (c("path") == c("f_path")) & (c("fi") == c("f_fi")), "left").join(last, (c("path") == c("l_path")) & (c("fi") == c("l_fi")))
     name = F.when(c("prefix").isNotNull() & ~c("name").contains("::"), F.concat("prefix", F.lit("::"), "name")).otherwise(c("name"))
     return out.select("path", "fi", name.alias("name"), "start_line", "end_line", "is_static", "params")
@@ -203,6 +205,31 @@ def _groups(s: DataFrame) -> DataFrame:
     return r.withColumn("comma", comma).withColumn("arg", F.count(F.when(comma, 1)).over(g).cast("int"))
 
 
+def _braced_threads(s: DataFrame) -> DataFrame:
+    """The braces of ``std::thread t{f}`` and ``std::thread{f}`` as parentheses."""
+    c = F.col
+    is_thread = lambda x: x.isin("std::thread", "std::jthread")
+    begins = is_thread(c("prev")) | is_thread(c("prev2")) & c("prev").rlike(r"^[A-Za-z_]\w*$")
+    if_brace = s.where("tok in ('{', '}')").withColumn("t", F.last(F.when(c("tok") == "{", F.coalesce(begins, F.lit(False))), ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("i")))
+    swap = if_brace.where("t").select(c("path").alias("w_path"), c("i").alias("w_i"), F.when(c("tok") == "{", "(").otherwise(")").alias("w_tok"))
+    return s.join(swap, (c("path") == c("w_path")) & (c("i") == c("w_i")), "left").withColumn("tok", F.coalesce("w_tok", "tok")).drop("w_path", "w_i", "w_tok")
+
+
+def _templated(s: DataFrame) -> DataFrame:
+    """``path, i, open``: names with template arguments between them and the parenthesis of their call, ``f<int>(1)``."""
+    c = F.col
+    with_sign = s.where("tok = '<'").select(c("path").alias("s_path"), c("stmt").alias("s_stmt")).distinct()
+    t = s.join(with_sign, (c("path") == c("s_path")) & (c("stmt") == c("s_stmt")), "left_semi").select("path", "stmt", "i", "tok", "next")
+    w = Window.partitionBy("path", "stmt").orderBy("i")
+    t = t.withColumn("next_i", F.lead("i").over(w))
+    sign = F.when(c("tok").isin("<", ">", "(", ")", "{", "}", ";"), F.struct("tok", "next", "next_i"))
+    behind = Window.partitionBy("path", "stmt").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("sign", F.last(sign, ignorenulls=True).over(behind))
+    closed = F.when((c("tok") == "<") & (c("sign.tok") == ">") & (c("sign.next") == "("), c("sign.next_i"))
+    t = t.withColumn("open", F.lead(closed).over(w))
+    return t.where(c("tok").rlike(r"^~?[A-Za-z_]") & c("open").isNotNull()).select("path", "i", "open")
+
+
 def arguments(s: DataFrame) -> DataFrame:
     """``path, open, arg, text``: each argument's tokens, what stands in further parentheses left out."""
     g = _groups(s).where("role = 'in' and not comma")
@@ -234,6 +261,7 @@ def facts(files: DataFrame, apis: tuple[AsyncApi, ...] = ASYNC_APIS) -> dict[str
     c = F.col
     s = structure(files)
     fs = cut(functions(s))
+    s = cut(_braced_threads(s))
     spark = files.sparkSession
     inside = s.where("fi is not null and not top")
     is_name = c("tok").rlike(r"^~?[A-Za-z_]")
@@ -244,6 +272,9 @@ def facts(files: DataFrame, apis: tuple[AsyncApi, ...] = ASYNC_APIS) -> dict[str
     after = Window.partitionBy("path").orderBy("i")
     place = s.select("path", "i", F.lead("i").over(after).alias("open")).select(c("path").alias("p_path"), c("i").alias("p_i"), "open")
     named = named.join(place, (c("path") == c("p_path")) & (c("i") == c("p_i"))).drop("p_path", "p_i")
+    shaped = _templated(s).withColumnsRenamed({"path": "p_path", "i": "p_i"})
+    shaped = inside.where(~short_name(c("tok")).isin(*KEYWORDS)).join(shaped, (c("path") == c("p_path")) & (c("i") == c("p_i")))
+    named = named.unionByName(shaped.select("path", "fi", "i", "line", c("tok").alias("name"), F.when(c("prev").isin("->", "."), "field").otherwise("direct").alias("kind"), "open"))
     # (*f)(…) and (*x->f)(…)
     g = cut(_groups(s))
     deref = g.where("role = 'in'").groupBy("path", "open").agg(
@@ -261,9 +292,10 @@ def facts(files: DataFrame, apis: tuple[AsyncApi, ...] = ASYNC_APIS) -> dict[str
     spec = spark.createDataFrame([(a.name, a.kind, a.arg, a.handle_arg) for a in apis] or [("", "", 0, None)], "api string, a_kind string, arg int, handle_arg int")
     args = cut(g.where("role = 'in' and not comma").groupBy("path", "open", "arg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "tok"))), lambda x: x["tok"]), " ").alias("text")))
     arg_of = lambda n: args.select(c("path").alias(f"{n}_path"), c("open").alias(f"{n}_open"), c("arg").alias(f"{n}_arg"), c("text").alias(f"{n}_text"))
-    # std::thread t(f) and t{f}: the variable's name stands between
-    threads = inside.where((c("prev").isin("std::thread", "std::jthread")) & is_name & (c("next") == "(")).select("path", c("i").alias("t_i"))
-    of_thread = calls.join(threads.select(c("path").alias("t_path"), "t_i"), (c("path") == c("t_path")) & (c("i") == c("t_i"))).select("path", "fi", "i", "line", F.lit("std::thread").alias("name"), "kind", "open")
+    # std::thread t(f), t{f} and std::thread{f}: the variable's name may stand between, and braces for parentheses
+    is_thread = lambda x: x.isin("std::thread", "std::jthread")
+    threads = inside.where(is_thread(c("prev")) & is_name & c("next").isin("(", "{") | is_thread(c("tok")) & (c("next") == "{"))
+    of_thread = threads.join(place, (c("path") == c("p_path")) & (c("i") == c("p_i"))).select("path", "fi", "i", "line", F.lit("std::thread").alias("name"), F.lit("direct").alias("kind"), "open")
     wanted = calls.unionByName(of_thread).join(F.broadcast(spec), c("name") == c("api"))  # the configured interfaces
     a = wanted.join(arg_of("a"), (c("path") == c("a_path")) & (c("open") == c("a_open")) & (c("arg") == c("a_arg")))
     a = a.join(arg_of("h"), (c("path") == c("h_path")) & (c("open") == c("h_open")) & (c("handle_arg") == c("h_arg")), "left")

@@ -40,13 +40,19 @@ def resolve_functions(entries: DataFrame, functions: DataFrame) -> DataFrame:
     names = f.select("*", F.explode(F.array_distinct(F.array(c("fname"), short_name(c("fname"))))).alias("key"))
     asked = entries.where("function_name is not null and function_name <> ''").select("file_name", "function_name", "line_number").distinct()
     asked = asked.withColumn("a_base", F.lower(basename(c("file_name"))))
-    both = asked.join(names, c("function_name") == c("key"))
-    # a record without a file has no candidates by file
-    by_file = F.coalesce((c("base") == c("a_base")) & (c("a_base") != ""), F.lit(False))
+    a = [c(x) for x in ("file_name", "function_name", "line_number")]
+    first = F.struct("ford", "fid", "fmod")
     inside = F.coalesce(c("line_number").between(c("start_line"), c("end_line")), F.lit(False))
-    pick = F.min(F.struct((~by_file).alias("t"), (~inside).alias("o"), "ford", "fid", "fmod")).alias("m")
-    best = both.groupBy("file_name", "function_name", "line_number").agg(pick)
-    best = best.select(c("file_name").alias("b1"), c("function_name").alias("b2"), c("line_number").alias("b3"), c("m.fid").alias("function_id"), c("m.fmod").alias("function_module"))
+    # by file and name; a record without a file has no candidates by file
+    by_file = asked.where("a_base <> ''").join(names, (c("function_name") == c("key")) & (c("a_base") == c("base")))
+    by_file = by_file.groupBy(*a).agg(F.min(F.struct((~inside).alias("o"), first.alias("f"))).alias("m")).select(*a, c("m.f").alias("f"))
+    # by name only: one candidate a name, and one for every line of a name that lies within several
+    rest = asked.join(by_file.select(*(c(x).alias(f"r{i}") for i, x in enumerate(("file_name", "function_name", "line_number")))), c("file_name").eqNullSafe(c("r0")) & (c("function_name") == c("r1")) & c("line_number").eqNullSafe(c("r2")), "left_anti")
+    some = names.join(rest.select(c("function_name").alias("n1")).distinct(), c("key") == c("n1"), "left_semi")
+    any_ = some.groupBy(c("key").alias("k1")).agg(F.min(first).alias("any"))
+    lines = some.where("start_line <= end_line").select("key", F.explode(F.sequence(c("start_line").cast("long"), c("end_line").cast("long"))).alias("at"), first.alias("f")).groupBy(c("key").alias("k2"), "at").agg(F.min("f").alias("there"))
+    by_name = rest.join(any_, c("function_name") == c("k1")).join(lines, (c("function_name") == c("k2")) & (c("line_number") == c("at")), "left").select(*a, F.coalesce("there", "any").alias("f"))
+    best = by_file.unionByName(by_name).select(c("file_name").alias("b1"), c("function_name").alias("b2"), c("line_number").alias("b3"), c("f.fid").alias("function_id"), c("f.fmod").alias("function_module"))
     on = c("file_name").eqNullSafe(c("b1")) & (c("function_name") == c("b2")) & c("line_number").eqNullSafe(c("b3"))
     return entries.join(best, on, "left").drop("b1", "b2", "b3")
 

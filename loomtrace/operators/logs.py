@@ -73,15 +73,20 @@ def assemble(lines: DataFrame, grammar: Grammar | None = None, width: int = WIDT
 
 
 def number(records: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Adds ``seq``: 0.. per log in order of (owner, line, sub), by counts per block and running offsets."""
+    """Adds ``seq``, 0.. per log in order of (owner, line, sub), and ``ts_full``, the timestamp's text of the record or the last
+    one before it that has one: both within blocks of lines, with the counts and last texts of the blocks before."""
     c = F.col
     rows = records.withColumn("_b", F.floor(c("owner") / width).cast("long"))
-    sizes = rows.groupBy("log_id", "_b").count()
-    sizes = sizes.select(c("log_id").alias("_l"), c("_b").alias("_bb"), F.coalesce(F.sum("count").over(Window.partitionBy("log_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     # a record goes before what follows it; its own interrupts come behind it
-    rn = F.row_number().over(Window.partitionBy("log_id", "_b").orderBy("owner", F.when(c("sub") == 0, 0).otherwise(1), "line_no", "sub"))
-    joined = rows.withColumn("_rn", rn).join(sizes, c("log_id").eqNullSafe(c("_l")) & (c("_b") == c("_bb")))
-    return joined.withColumn("seq", (c("_off") + c("_rn") - 1).cast("long")).drop("_b", "_bb", "_l", "_off", "_rn")
+    place = [c("owner"), F.when(c("sub") == 0, 0).otherwise(1), c("line_no"), c("sub")]
+    order = F.struct(*(x.alias(f"o{i}") for i, x in enumerate(place)))
+    blocks = rows.groupBy(c("log_id").alias("_l"), c("_b").alias("_bb")).agg(F.count(F.lit(1)).alias("_n"), F.max_by("ts_text", F.when(c("ts_text").isNotNull(), order)).alias("_ts"))
+    before = Window.partitionBy("_l").orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_l", "_bb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.last("_ts", ignorenulls=True).over(before).alias("_carried"))
+    w = Window.partitionBy("log_id", "_b").orderBy(*place)
+    rows = rows.withColumns({"_rn": F.row_number().over(w), "_own": F.last("ts_text", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    joined = rows.join(blocks, c("log_id").eqNullSafe(c("_l")) & (c("_b") == c("_bb")))
+    return joined.withColumns({"seq": (c("_off") + c("_rn") - 1).cast("long"), "ts_full": F.coalesce("_own", "_carried")}).drop("_b", "_bb", "_l", "_off", "_rn", "_own", "_carried")
 
 
 def parse(lines: DataFrame, grammar: Grammar | None = None, width: int = WIDTH) -> DataFrame:
@@ -93,9 +98,7 @@ def parse(lines: DataFrame, grammar: Grammar | None = None, width: int = WIDTH)
     """
     g = grammar or Grammar()
     c = F.col
-    rows = number(cut(assemble(lines, g, width)), width)
-    rows = last_known(rows, ["log_id"], "seq", c("ts_text"), "ts_full", width=width)
-    rows = g.with_fields(rows)
+    rows = g.with_fields(number(cut(assemble(lines, g, width)), width))
     return rows.select(
         "log_id", "seq", "line_no", g.timestamp(c("ts_full")).alias("ts"), g.ts_ms(c("ts_full")).alias("ts_ms"), F.lit(None).cast("string").alias("thread_id"),
         "tick", "level", "module_name", "function_name", "message", "file_name", "line_number", "kind", c("body").alias("raw"),

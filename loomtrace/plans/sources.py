@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.functions.paths import basename
 from loomtrace.operators import callgraph as b
 from loomtrace.operators import extract as x
 from loomtrace.operators import payload as pl
 from loomtrace.operators.graph import adjacency
+from loomtrace.operators.ordered import offsets
 from loomtrace.operators.query import changed_files
 from loomtrace.session import load
 from loomtrace.sources import files as sf
@@ -37,11 +39,13 @@ def _changed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dump_lines(s: SparkSession, d: str) -> DataFrame:
-    """The files as one dump per first letter of their base name, so that reading dumps back can be checked."""
+    """The files as one dump per first letter of their base name, one file behind the other, so that reading dumps back can be checked."""
+    c = F.col
     once = _files(s, d).where("path is not null and content is not null").groupBy("path").agg(F.min("content").alias("content"))
     body = F.split(F.concat(F.lit(f"{sf.FILE_BEGIN}\nPath: Input\\"), F.replace("path", F.lit("/"), F.lit("\\")), F.lit(f"\n{sf.CONTENT_BEGIN}\n"), F.regexp_replace("content", "\r\n?", "\n"), F.lit(f"\n{sf.CONTENT_END}\n{sf.FILE_END}")), "\n")
-    rows = once.select("path", F.posexplode(body).alias("i", "line"))
-    return rows.select(F.col("path").alias("log_id"), (F.col("i") + 1).cast("long").alias("line_no"), "line")
+    files = once.select("path", F.substring(basename(c("path")), 1, 1).alias("dump"), body.alias("body")).withColumn("n", F.size("body"))
+    rows = offsets(files, ["dump", "path"], "n", "at").select("dump", "at", F.posexplode("body").alias("i", "line"))
+    return rows.select(c("dump").alias("log_id"), (c("at") + c("i") + 1).alias("line_no"), "line")
 
 
 def _payload(s: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -54,6 +58,7 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_calls": lambda s, d: x.facts(_files(s, d))["calls"].select("path", "fi", "line", "name", "kind"),
     "source_refs": lambda s, d: x.facts(_files(s, d))["refs"].select("path", "fi", "line", "name", "field_name", "via_call"),
     "source_call_graph": lambda s, d: b.build(_files(s, d)).edges,
+    "source_build_stats": lambda s, d: b.build_report(_files(s, d), b.build(_files(s, d))),
     "source_adjacency": lambda s, d: adjacency(b.build(_files(s, d)).edges).select("caller", F.array_join("callees", ",").alias("callees")),
     "changed_files": _changed,
     "file_signatures": lambda s, d: sf.signatures(_files(s, d)),

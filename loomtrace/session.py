@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared checkpoint folder and read it from there: lineage ends, lost executors do not matter."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a DataFrame to the shared checkpoint folder and read it from there: lineage ends, lost executors do not matter.
+
+    Written as Parquet: later steps read the columns they need, in splits, and Spark knows the sizes. The files go when the
+    session's file system closes.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(jsc.sc().getCheckpointDir().get(), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(folder.toString())
+    folder.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(folder.toString())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.paths import EXCLUDE_PATHS, EXTENSIONS, accepted, normalized
 from loomtrace.operators.ordered import last_known
+from loomtrace.sources.text import read_lines
 
 FILES = "path string, content string"
 # fixed values: marks of the dump format, and folders that are never read
@@ -54,6 +55,16 @@ def from_dump(lines: DataFrame, prefixes: tuple[str, ...] = ("Input/",), only: l
     return out.select("path", F.coalesce("content", F.lit("")).alias("content"))
 
 
+def source_files(spark: SparkSession, place: str | None = None) -> DataFrame:
+    """Files of wherever they are kept: no place, no files; a folder; or a dump in a file."""
+    if place is None:
+        return empty(spark)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return from_folder(spark, place)
+    return from_dump(read_lines(spark, place))
+
+
 def decoded(data: bytes, encoding: str = "auto") -> str:
     """Bytes of a source as text: by its mark, as UTF-8, as CP932, else as Latin-1; line ends as ``\\n``."""
     if encoding != "auto":
