@@ -56,7 +56,13 @@ def test_search(events):
     assert ids(q.search(e, "DRAINED")) == [1, 2] and ids(q.search(e, "drained", "msg")) == [1] and ids(q.search(e, "a.c:3")) == [0]
     nxt = {r["seq"]: r["next_seq"] for r in q.next_hits(e, "drained", F.lit(True)).collect()}
     assert nxt == {0: 1, 1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 20: 1}
-    assert [r["next_seq"] for r in q.next_hits(e, "nothing", F.col("seq") == 0).collect()] == [None]
+    assert [tuple(r) for r in q.next_hits(e, "nothing", F.col("seq") == 0).collect()] == [(0, None, None, 0, 0)]
+    assert {r["seq"]: (r["previous_seq"], r["place"], r["hits"]) for r in q.next_hits(e, "drained", F.lit(True)).collect()} == {0: (2, 0, 2), 1: (2, 1, 2), 2: (1, 2, 2), 3: (2, 2, 2), 4: (2, 2, 2), 5: (2, 2, 2), 20: (2, 2, 2)}
+
+
+def test_full_text(events):
+    got = {r["seq"]: r["t"] for r in q.once(events).select("seq", q.full_text().alias("t")).collect()}
+    assert got[0] == "[1970-01-01 00:00:01.000] INFO m (A.c:3 f)" and got[1] == "[] INFO Drained 5" and got[2] == "[1970-01-01 00:00:00.900] x drained" and got[3] == "[] UNKNOWN "
 
 
 def test_collapse_and_children(events):

@@ -49,6 +49,15 @@ def test_folder(spark, tmp_path):
     assert got == {"src/app/main.c": "int a;\n", "src/app/sjis.c": "// 終了\n", "src/app/latin.c": "// üÿé"}
 
 
+def test_places(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.c").write_text("int a;\n")
+    dump = [files.FILE_BEGIN, "Path: Input\\src\\b.c", files.CONTENT_BEGIN, "int b;", files.CONTENT_END, files.FILE_END, files.FILE_BEGIN, "Path: Input\\src\\c.c", files.CONTENT_BEGIN, files.CONTENT_END, files.FILE_END]
+    (tmp_path / "all.txt").write_text("\n".join(dump))
+    read = lambda place: {r["path"]: r["content"] for r in files.source_files(spark, place).collect()}
+    assert read(None) == {} and read(str(tmp_path / "src")) == {"a.c": "int a;\n"} and read(str(tmp_path / "all.txt")) == {"src/b.c": "int b;\n", "src/c.c": ""}
+
+
 def test_incremental(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], files.FILES)
     new = spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "4"), (None, "5")], files.FILES)
