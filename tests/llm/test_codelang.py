@@ -70,4 +70,13 @@ def test_short_sentences():
     assert c.stretches("Lock held. Do not sleep.") == [("latin", "Lock held. Do not sleep.")]
     assert [k for k, _ in c.stretches("写入失败了。请稍后重试。")] == ["cjk"]
     assert c.stretches("Done. The queue closes the channel. Wait.") == [("latin", "Done. The queue closes the channel. Wait.")]
-    assert c.stretches("Do not. Sleep.") == [] and c.stretches("x = y[2]; z += 1. Lock held.") == []
+    assert c.stretches("Do not. Sleep.") == []
+    # signs part nothing any more: whether such a stretch is code is the posterior's to say
+    assert c.stretches("x = y[2]; z += 1. Lock held.") == [("latin", "x = y[2]; z += 1. Lock held.")]
+
+
+def test_code_by_posterior(spark):
+    docs = spark.createDataFrame(list(DOCS.items()), "lang string, text string")
+    lines = "x = y[2]; z += 1;\nfor (i = 0; i < n; i++) sum += tab[i];\nif (rc) { return rc; }\n"
+    files = spark.createDataFrame([("a.c", lines * 5 + "// for (i = 0; i < n; i++) sum += tab[i];\n// x = y[2]; z += 1; if (rc) return rc;\n// THE TIMER WHEEL READS THE TABLE AGAIN\n")], "path string, content string")
+    assert [(r["line_no"], r["lang"]) for r in c.natural_language(files, docs).collect()] == [(18, "en")]
