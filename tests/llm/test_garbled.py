@@ -133,6 +133,15 @@ def test_nothing_is_made_twice(monkeypatch):
     assert g._seen(again) == {} and g._seen(again) is not g._seen(model)  # of another corpus nothing is known
 
 
+def test_judgements_fit_in_memory(monkeypatch):
+    """Workers keep judgements for later tasks, by the characters of their texts, not only by their number."""
+    monkeypatch.setattr(g, "_CACHE_CHARS", 5000)
+    seen = g._Seen()
+    for i in range(100):
+        seen.keep((f"{i:04}" * 250, False), (False, ()))
+        assert sum(len(t) for t, _ in seen) == seen.chars <= 6000 and len(seen) >= 1
+
+
 @pytest.mark.parametrize("wrong", g.WRONG)
 def test_bytes_of_all_pieces_at_once(wrong):
     texts = [*CLEAN, "", "é", "Ã© naïve ﾀｲx", "\ud83d ö\x85ü \U0001f600", *(x.encode().decode("latin-1") for x in CLEAN), *(x.encode("utf-8").decode("cp1251", "replace") for x in CLEAN)]
